@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality, sharding, simhash
+from .common import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +22,28 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id", "`__quality`.*")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, equal texts kept together and bytes as even as groups allow."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 16)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken from every document, and the place in training of its first reading."""
+    docs = table(spark, sf_dir, "documents")
+    sized = keep(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "sizes")
+    planned = mixing.plan(sized, size=F.col("size"))
+    return planned.orderBy(F.get("__mix_positions", F.lit(0)).asc_nulls_last(), "__mix_order").select(
+        "doc_id", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_taken").alias("taken"), F.get("__mix_positions", F.lit(0)).alias("first_position")
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_quality_rules,)}
+    return {f.__name__: f for f in (op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
