@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash
+from . import mixing, pieces, quality, sharding, simhash
 from .common import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,8 +42,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Ids, decoded text and byte spans of every document, as digests."""
+    import public_tokenizers
+
+    return pieces.encoded(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"), lists=False)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op3_sentencepiece, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
