@@ -1,0 +1,422 @@
+"""Personal data: fixed patterns with checks, and a linear-chain conditional random field for what they miss.
+
+The field labels the words of a text (runs without white space) with O, B-kind and I-kind. Its features are word shapes: of
+the word, the one before and the one after. It is trained on the driver from a small labelled table
+(``MOST_LABELLED`` rows at most) by gradient ascent on the conditional likelihood, and decoded by Viterbi in numpy
+batches. The field is constrained: a word of letters and sentence marks alone ("plain") between such words can only be
+O. So the best path of a whole text passes through O there, and it decodes exactly as a set of short
+windows around the words that are not plain. Spans of the field that touch a pattern's span are dropped: the
+pattern's stay.
+
+Defined cases: a null or empty text has no spans; very long words are one word; repeated rows are judged
+alike; columns besides those named are not read. Offsets are code points, the end exclusive.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import blocks, byte_list
+
+#: Pattern kinds, as listed in results, and then those of the field.
+BASE = ("email", "ip", "card", "phone")
+KINDS = ("secret", "ssn", "iban", "tel")
+ORDER = {k: i for i, k in enumerate(BASE + KINDS)}
+#: Rows of the labelled table that training accepts.
+MOST_LABELLED = 5000
+
+Span = tuple[str, int, int]
+
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        total += d if i % 2 == 0 else d * 2 - 9 * (d > 4)
+    return total % 10 == 0
+
+
+def emails(text: str) -> Iterator[Span]:
+    """Leftmost matches: the local part is the whole run before an @, from the last match on."""
+    at, done = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            done = m.end()
+            yield "email", start, done
+        else:
+            done = at + 1
+        at = text.find("@", max(done, at + 1))
+
+
+def base_spans(text: str) -> list[Span]:
+    """Spans of the fixed patterns by kind as listed, then start."""
+    out = list(emails(text))
+    if not _DIGIT.search(text):
+        return out
+    if "." in text:
+        for m in _IP.finditer(text):
+            if all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in m[0].split(".")):
+                out.append(("ip", *m.span()))
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 16:
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                out.append(("card", *m.span()))
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 8 <= len(_DIGIT.findall(m[0])) <= 15:
+                out.append(("phone", *m.span()))
+    return out
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words with none of these are plain.
+_ODD = re.compile(r"[0-9@+=_/\\]")
+_RUNS = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|([^\x00-\x7f]+)|(.)", re.S)
+_CUES = frozenset("password passwd pwd token secret key apikey api_key ssn iban tel phone call social security account".split())
+_MARKS = "\"'`.,;:!?()[]{}<>"
+
+
+@lru_cache(maxsize=100_000)
+def features(word: str) -> tuple[str, ...]:
+    """Shape features of a word; a plain one has its cue alone."""
+    bare = word.strip(_MARKS)
+    low = bare.lower()
+    if not _ODD.search(word):
+        return ("cue:" + low,) if low in _CUES else ("plain",)
+    if len(word) > 200:
+        return ("odd", "long")
+    shape = []
+    for m in _RUNS.finditer(bare):
+        upper, lower, digits, other, mark = m.groups()
+        n = len(m[0])
+        shape.append(f"9{min(n, 9)}" if digits else "A" if upper else "a" if lower else "u" if other else mark)
+    n_digits = sum(c.isdigit() for c in bare)
+    out = ["odd", "shape:" + "".join(shape)[:24], f"digits:{min(n_digits, 20)}", f"length:{min(len(bare) // 4, 12)}"]
+    if bare.isdigit():
+        out.append("number")
+    if re.fullmatch(r"[0-9a-f]{12,}", bare) and n_digits and n_digits < len(bare):
+        out.append("hex")
+    if re.fullmatch(r"[A-Z0-9]{16,24}", bare) and n_digits and n_digits < len(bare):
+        out.append("upper-code")
+    if re.fullmatch(r"[A-Za-z0-9+/_-]{20,}={0,2}", bare) and n_digits and not bare.isdigit():
+        out.append("code")
+    if m := re.match(r"([A-Za-z_]+)[=:]", bare):
+        out.append("assigns-cue" if m[1].lower() in _CUES else "assigns")
+    if re.fullmatch(r"[A-Z]{2}[0-9]{2}", bare):
+        out.append("iban-head")
+    if re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", bare):
+        out.append("iban-whole")
+    if word.startswith("(") and ")" in word:
+        out.append("bracketed")
+    if bare == "=":
+        out.append("equals")
+    return tuple(out)
+
+
+@lru_cache(maxsize=4)
+def synthetic_table(rows: int = 400, seed: int = 7) -> tuple[tuple[str, tuple[Span, ...]], ...]:
+    """A small labelled table made by rule: sentences around made-up secrets, numbers and look-alikes that aren't."""
+    r = random.Random(seed)
+    syllables = "ba ce di fo gu la me ni po ru sa te vi xo zu an el or un is".split()
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    upper = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    mixed = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+
+    def secret() -> str:
+        return r.choice([
+            lambda: "AKIA" + upper(16),
+            lambda: "password=" + hexes(r.randint(12, 24)),
+            lambda: f'token = "{hexes(r.choice((32, 40, 64)))}"',
+            lambda: "api_key=" + mixed(r.randint(20, 40)),
+            lambda: "secret: " + mixed(r.randint(20, 40)) + digits(2),
+            lambda: "ghp_" + mixed(34) + digits(2),
+        ])()
+
+    made = {
+        "secret": secret,
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "iban": lambda: r.choice([lambda: "DE" + digits(20), lambda: "FR" + digits(12) + upper(9) + digits(2), lambda: "GB" + digits(2) + " NWBK " + " ".join(digits(4) for _ in range(3)) + " " + digits(2)])(),
+        "tel": lambda: r.choice([lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"])(),
+    }
+    like = [
+        lambda: digits(r.randint(1, 19)), lambda: f"{digits(1)}.{digits(1)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"{digits(3)},{digits(3)}",
+        lambda: f"{digits(2)}:{digits(2)}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(2)}%", lambda: f"x={digits(1)}", lambda: f"{word()}@{word()}.com", lambda: f"{word()}.{digits(2)}@{word()}{digits(1)}.example.org", lambda: ".".join(digits(r.randint(1, 3)) for _ in range(4)),
+        lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+{digits(2)} {digits(3)} {digits(6)}", lambda: f"v{digits(1)}.{digits(1)}", lambda: f"{word()}{digits(2)}", lambda: f"{word().upper()}-{digits(1)}", lambda: "=", lambda: f"{word()} = {word()}", lambda: f"{word()}_{word()}",
+        lambda: f"{word()}/{word()}", lambda: r.choice(sorted(_CUES)), lambda: f"http://{word()}.example.com/{word()}/{digits(3)}?{word()}={digits(2)}", lambda: f"{digits(4)}-{digits(4)}", lambda: f"({digits(2)})", lambda: " ".join(digits(4) for _ in range(4)),
+    ]
+    out = []
+    for i in range(rows):
+        text, spans = "", []
+        for _ in range(r.randint(1, 3)):
+            for _ in range(r.randint(1, 3)):
+                text += word() + r.choice(["", "", "", ",", "."]) + " "
+            if r.random() < 0.5:
+                kind = KINDS[i % len(KINDS)]
+                value = made[kind]()
+                if kind != "secret" and r.random() < 0.3:
+                    text += kind + " "
+                spans.append((kind, len(text), len(text) + len(value)))
+                text += value + r.choice(["", "", ".", ","]) + " "
+            else:
+                text += r.choice(like)() + r.choice(["", "", ".", ","]) + " "
+        text += word()
+        out.append((text, tuple(spans)))
+    return tuple(out)
+
+
+LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: Plain words that a window has on either side of a word that isn't: its neighbours may have any label.
+AROUND = 1
+
+
+class Field:
+    """Weights of a trained field."""
+
+    def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, first: np.ndarray):
+        self.names, self.emit, self.move, self.first = names, emit, move, first
+
+    def ids(self, word: str, where: str) -> list[int]:
+        return [self.names[k] for f in features(word) if (k := where + f) in self.names]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Emission of each word and label."""
+        n = len(words)
+        out = np.zeros((n, len(LABELS)))
+        for i, w in enumerate(words):
+            ids = self.ids(w, "")
+            if i:
+                ids += self.ids(words[i - 1], "<")
+            if i + 1 < n:
+                ids += self.ids(words[i + 1], ">")
+            if ids:
+                out[i] = self.emit[ids].sum(axis=0)
+            if not any(_ODD.search(x) for x in words[max(0, i - 1) : i + 2]):
+                out[i, 1:] = -np.inf
+        return out
+
+    def viterbi(self, sequences: list[tuple[np.ndarray, bool, bool]]) -> list[np.ndarray]:
+        """Best labels of (emissions, from O, to O); sequences of a length are decoded together."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(sequences)
+        groups: dict[int, list[int]] = {}
+        for i, (e, _, _) in enumerate(sequences):
+            groups.setdefault(len(e), []).append(i)
+        for n, members in groups.items():
+            e = np.stack([sequences[i][0] for i in members])
+            best = e[:, 0] + np.where(np.array([sequences[i][1] for i in members])[:, None], self.move[0], self.first)
+            back = np.zeros((n, len(members), len(LABELS)), dtype=np.int64)
+            for t in range(1, n):
+                s = best[:, :, None] + self.move
+                back[t] = s.argmax(axis=1)
+                best = s.max(axis=1) + e[:, t]
+            best = best + np.where(np.array([sequences[i][2] for i in members])[:, None], self.move[:, 0], 0)
+            path = np.zeros((n, len(members)), dtype=np.int64)
+            path[-1] = best.argmax(axis=1)
+            for t in range(n - 1, 0, -1):
+                path[t - 1] = back[t][np.arange(len(members)), path[t]]
+            for k, i in enumerate(members):
+                out[i] = path[:, k]
+        return out
+
+    def spans(self, texts: list[str], whole: bool = False) -> list[list[Span]]:
+        """Spans of each text. ``whole`` decodes each text as one sequence, for tests."""
+        found: list[list[Span]] = [[] for _ in texts]
+        jobs, sequences = [], []
+        for k, text in enumerate(texts):
+            if not whole and not _ODD.search(text):
+                continue
+            at = [m.span() for m in _WORD.finditer(text)]
+            words = [text[a:b] for a, b in at]
+            if whole:
+                ranges = [(0, len(words))] if words else []
+            else:
+                ranges = []
+                for i in [i for i, w in enumerate(words) if _ODD.search(w)]:
+                    low, high = max(0, i - AROUND), min(len(words), i + AROUND + 1)
+                    if ranges and low <= ranges[-1][1]:
+                        ranges[-1] = (ranges[-1][0], high)
+                    else:
+                        ranges.append((low, high))
+            for low, high in ranges:
+                left, right = max(0, low - 1), min(len(words), high + 1)
+                e = self.scores(words[left:right])[low - left : high - left]
+                jobs.append((k, at[low:high], words[low:high]))
+                sequences.append((e, low > 0, high < len(words)))
+        for (k, at, words), path in zip(jobs, self.viterbi(sequences)):
+            kind, start, end = "", 0, 0
+            for (a, b), w, label in zip([*at, (0, 0)], [*words, ""], [*(LABELS[i] for i in path), "O"]):
+                if kind and label != "I-" + kind:
+                    found[k].append((kind, start, end))
+                    kind = ""
+                if label[0] == "B" or label[0] == "I" and not kind:
+                    kind = label[2:]
+                    start = a + len(w) - len(w.lstrip("\"'`,;:!?[]{}<>"))
+                if kind:
+                    end = b - (len(w) - len(w.rstrip("\"'`.,;:!?[]{}<>")))
+        return found
+
+
+def labelled_words(text: str, spans: tuple[Span, ...]) -> tuple[list[str], list[int]]:
+    words, labels = [], []
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        label = "O"
+        for kind, s, e in spans:
+            if a < e and b > s:
+                label = ("B-" if a <= s else "I-") + kind
+        words.append(m[0])
+        labels.append(LABELS.index(label))
+    return words, labels
+
+
+def train(table: tuple[tuple[str, tuple[Span, ...]], ...], rounds: int = 60, rate: float = 0.2, penalty: float = 1e-3) -> Field:
+    """Maximum conditional likelihood by Adam over padded batches; forward and backward sums in numpy."""
+    if len(table) > MOST_LABELLED:
+        raise ValueError(f"the labelled table has {len(table)} rows; {MOST_LABELLED} are trained on at most")
+    data = [x for x in (labelled_words(t, s) for t, s in table) if x[0]]
+    names: dict[str, int] = {}
+    n_l, n, longest = len(LABELS), len(data), max(len(w) for w, _ in data)
+    rows, cols = [], []
+    gold = np.zeros((n, longest), dtype=np.int64)
+    mask = np.zeros((n, longest), dtype=bool)
+    for i, (words, labels) in enumerate(data):
+        for t, w in enumerate(words):
+            for where, o in (("", w), ("<", words[t - 1] if t else None), (">", words[t + 1] if t + 1 < len(words) else None)):
+                for f in features(o) if o is not None else ():
+                    rows.append(i * longest + t)
+                    cols.append(names.setdefault(where + f, len(names)))
+        gold[i, : len(labels)] = labels
+        mask[i, : len(labels)] = True
+    rows, cols = np.array(rows), np.array(cols)
+    by_col = np.argsort(cols, kind="stable")
+    col_first = np.searchsorted(cols[by_col], np.arange(len(names)))
+    sizes = [(len(names), n_l), (n_l, n_l), (n_l,)]
+    weights = [np.zeros(s) for s in sizes]
+    m1, m2 = [np.zeros(s) for s in sizes], [np.zeros(s) for s in sizes]
+    one = np.eye(n_l)
+    last = mask.sum(axis=1) - 1
+    log_sum = lambda x, axis: (top := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - top).sum(axis=axis))
+    row_first = np.searchsorted(rows, np.arange(n * longest))
+    has = np.flatnonzero(mask.ravel())
+    for step in range(1, rounds + 1):
+        emit, move, first = weights
+        e = np.zeros((n * longest, n_l))
+        e[has] = np.add.reduceat(emit[cols], row_first[has], axis=0)
+        e = e.reshape(n, longest, n_l)
+        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
+        fwd[:, 0] = first + e[:, 0]
+        for t in range(1, longest):
+            fwd[:, t] = np.where(mask[:, t, None], log_sum(fwd[:, t - 1, :, None] + move, 1) + e[:, t], fwd[:, t - 1])
+        for t in range(longest - 2, -1, -1):
+            bwd[:, t] = np.where(mask[:, t + 1, None], log_sum(move + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
+        z = log_sum(fwd[np.arange(n), last], 1)
+        node = np.exp(fwd + bwd - z[:, None, None]) * mask[:, :, None]
+        diff = (one[gold] * mask[:, :, None] - node).reshape(-1, n_l)
+        g_emit = np.add.reduceat(diff[rows[by_col]], col_first, axis=0)
+        g_move = np.zeros((n_l, n_l))
+        for t in range(1, longest):
+            live = mask[:, t]
+            pair = np.exp(fwd[live, t - 1, :, None] + move + (e[live, t] + bwd[live, t])[:, None, :] - z[live, None, None])
+            g_move -= pair.sum(axis=0)
+            np.add.at(g_move, (gold[live, t - 1], gold[live, t]), 1)
+        g_first = (one[gold[:, 0]] - node[:, 0]).sum(axis=0)
+        for k, g in enumerate((g_emit, g_move, g_first)):
+            g = g / n - penalty * weights[k]
+            m1[k] = 0.9 * m1[k] + 0.1 * g
+            m2[k] = 0.99 * m2[k] + 0.01 * g * g
+            weights[k] = weights[k] + rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
+    return Field(names, *weights)
+
+
+@lru_cache(maxsize=1)
+def default_field() -> Field:
+    return train(synthetic_table())
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (ORDER[s[0]], s[1], s[2])))
+
+
+def every_span(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """Pattern spans and all spans of each text."""
+    out = []
+    for text, extra in zip(texts, field.spans(texts)):
+        base = base_spans(text)
+        out.append((base, base + [x for x in extra if all(x[2] <= b[1] or x[1] >= b[2] for b in base)]))
+    return out
+
+
+def masked(text: str, spans: list[Span]) -> str:
+    """``text`` with a placeholder for each stretch of spans that touch, named for the first of them."""
+    out, done, end, kind = [], 0, -1, ""
+    for k, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= end:
+            if kind:
+                out.append(f"<{kind.upper()}>")
+                done = end
+            out.append(text[done:a])
+            kind, end = k, b
+        else:
+            end = max(end, b)
+    if kind:
+        out.append(f"<{kind.upper()}>")
+        done = end
+    return "".join(out) + text[done:]
+
+
+def found(docs: DataFrame, key: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
+    """``key``, counts of the pattern kinds, ``base_sha256`` of their spans, and ``spans``, all of them."""
+    source = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
+    model = field or default_field()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = byte_list(batch.column(1))
+            for i, j in blocks(texts):
+                spans = every_span([t.decode() for t in texts[i:j]], model)
+                counts = [pa.array([sum(s[0] == k for s in b) for b, _ in spans], type=pa.int64()) for k in BASE]
+                base = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in spans], type=pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *counts, base, pa.array([joined(a) for _, a in spans], type=pa.string())], names=["__id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+
+    counted = ", ".join(f"n_{k} long" for k in BASE)
+    return source.mapInArrow(run, f"__id {source.schema[0].dataType.simpleString()}, {counted}, base_sha256 string, spans string").withColumnRenamed("__id", key)
+
+
+def redacted(docs: DataFrame, text: str = "text", field: Field | None = None) -> DataFrame:
+    """``docs`` with every span of its text replaced by a placeholder; a null text stays null."""
+    model = field or default_field()
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = byte_list(batch.column(at))
+            empty = batch.column(at).is_null().to_pylist()
+            for i, j in blocks(texts):
+                plain = [t.decode() for t in texts[i:j]]
+                clean = [None if e else masked(t, s) if s else t for t, (_, s), e in zip(plain, every_span(plain, model), empty[i:j])]
+                part = batch.slice(i, j - i)
+                yield part.set_column(at, batch.schema.field(at), pa.array(clean, type=batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality, sharding, simhash
+from . import mixing, pieces, pii, quality, sharding, simhash
 from .common import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,8 +49,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return pieces.encoded(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"), lists=False)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document: the fixed patterns and what the field adds."""
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sentencepiece, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_pii, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
