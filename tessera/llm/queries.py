@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, pii, quality, sharding, simhash
+from . import kneser_ney, mixing, pieces, pii, quality, sharding, simhash
 from .common import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+    """Scores of all documents under a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out()), order=order)
+    out = kneser_ney.scored(docs, model)
+    return out.select("doc_id", kneser_ney.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Ids, decoded text and byte spans of every document, as digests."""
     import public_tokenizers
@@ -55,7 +63,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_pii, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_sentencepiece, op4_pii, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
