@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, pieces, pii, quality, sharding, simhash
+from . import kneser_ney, mixing, pieces, pii, quality, sharding, simhash, suffixes
 from .common import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """Bytes of every document that lie in a 200-byte string found elsewhere too; the table's files come in as batches."""
+    docs = table(spark, sf_dir, "documents")
+    files = sorted(docs.inputFiles())
+    parts = [spark.read.schema(docs.schema).parquet(*files[k::batches]) for k in range(min(batches, len(files)))]
+    family = suffixes.family_of(parts or [docs])
+    return suffixes.cut(docs, suffixes.compare(docs, family), texts=False)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, equal texts kept together and bytes as even as groups allow."""
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
@@ -63,7 +72,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_sentencepiece, op4_pii, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_sentencepiece, op4_pii, op5_suffix_dedup, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
