@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, pieces, pii, quality, sharding, simhash, suffixes
+from . import kneser_ney, mixing, pieces, pii, quality, sharding, simhash, suffixes, templates
 from .common import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str, batches: int = 4) -> Data
     return suffixes.cut(docs, suffixes.compare(docs, family), texts=False)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, equal texts kept together and bytes as even as groups allow."""
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
@@ -72,7 +77,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_sentencepiece, op4_pii, op5_suffix_dedup, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_sentencepiece, op4_pii, op5_suffix_dedup, op6_html_extraction, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
