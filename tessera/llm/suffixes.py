@@ -47,10 +47,10 @@ MASK_BYTES = -(-MOST_WINDOWS // 8)
 #: Occurrences of a suffix beyond which its windows are dealt one by one.
 HOT = 4096
 #: Bytes of text hashed together; longer texts are cut into pieces that overlap.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes of run contents, or suffixes, that a task collapses at a time.
-FLUSH_BYTES = 24 << 20
-FLUSH_SUFFIXES = 1 << 20
+FLUSH_BYTES = 8 << 20
+FLUSH_SUFFIXES = 1 << 19
 PLACE = U64((1 << 30) - 1)
 
 
@@ -376,30 +376,38 @@ def compare(docs: DataFrame, family: Family, text: str = "text") -> Verdicts:
                 at += s
         keys = np.array(sorted(content), dtype=U64)
         whole = [content[k] for k in keys.tolist()]
+        many = np.array([times[k] > 1 for k in keys.tolist()])
         size = np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
-        start = np.concatenate(([0], np.cumsum(size)))[:-1]
-        n = size - LENGTH + 1
-        first = np.concatenate(([0], np.cumsum(n)))[:-1]
-        run = np.repeat(np.arange(len(keys)), n)
-        place = np.arange(n.sum()) - first[run]
-        h = np.concatenate([window_hashes(prefix_sums(np.frombuffer(b"".join(whole[i:j]), dtype=np.uint8)), (start[run[first[i] : first[j - 1] + n[j - 1]]] - start[i]) + place[first[i] : first[j - 1] + n[j - 1]]) for i, j in chunks(size)])
-        values, seen = sorted_counts(h)
+        ranges = list(chunks(size))
+        hashes = [windows_of(whole[i:j], size[i:j])[2] for i, j in ranges]
+        values, seen = sorted_counts(np.concatenate(hashes))
         values = values[seen > 1]
-        many = np.array([times[k] > 1 for k in keys.tolist()])
-        flag = many[run] | positions(values, h)[1]
         bits = np.zeros((len(keys), MASK_BYTES * 8), dtype=bool)
-        bits[run, place] = flag
+        for (i, j), h in zip(ranges, hashes):
+            run, place, _ = windows_of(whole[i:j], size[i:j], False)
+            bits[run + i, place] = many[run + i] | positions(values, h)[1]
         some = bits.any(axis=1)
         save(path, f"runs-{part}-keys", keys[some])
         save(path, f"runs-{part}-masks", np.packbits(bits[some], axis=1, bitorder="little"))
-        return pd.DataFrame({"n": [int(flag.sum())]})
+        return pd.DataFrame({"n": [int(bits.sum())]})
 
     rows = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(gather, ROWS)
     rows.groupBy("kind", "part").applyInPandas(decide, "n long").agg(F.sum("n")).first()
     return Verdicts(family)
 
 
-def chunks(size: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def windows_of(contents: list[bytes], size: np.ndarray, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of each content: which content, where in it, and its hash."""
+    n = size - LENGTH + 1
+    run = np.repeat(np.arange(len(contents)), n)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    if not hashed:
+        return run, place, run
+    start = np.cumsum(size) - size
+    return run, place, window_hashes(prefix_sums(np.frombuffer(b"".join(contents), dtype=np.uint8)), start[run] + place)
+
+
+def chunks(size: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of contents of ``most`` bytes or one."""
     i, total = 0, 0
     for j, s in enumerate(size.tolist()):
@@ -466,7 +474,7 @@ def family_of(batches: list[DataFrame], text: str = "text", path: str | None = N
     spark = batches[0].sparkSession
     path = mounted(path or shared_path(spark, "suffixes"))
     os.makedirs(path, exist_ok=True)
-    out = Family(path, max(64, 2 * sum(b.rdd.getNumPartitions() for b in batches)))
+    out = Family(path, max(64, 8 * sum(b.rdd.getNumPartitions() for b in batches)))
     for b in batches:
         out.insert(b, text)
     return out
