@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, pieces, pii, quality, sharding, simhash, suffixes, templates
+from . import kneser_ney, mixing, pictures, pieces, pii, quality, sharding, simhash, suffixes, templates
 from .common import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # texts reach Python a thousand rows at a time, so that a batch of long ones stays small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,6 +58,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited crops of the pictures whose id 20 divides, searched for among all pictures."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = pictures.pictures_of(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edit=True)
+    found = pictures.search(asked, pictures.pictures_of(vectors, "vec_id", "embedding"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     """Scores of all documents under a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -77,7 +87,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_sentencepiece, op4_pii, op5_suffix_dedup, op6_html_extraction, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op2_lm_scoring, op3_sentencepiece, op4_pii, op5_suffix_dedup, op6_html_extraction, op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

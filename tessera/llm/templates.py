@@ -242,7 +242,7 @@ def tokens(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([long([k[0] for k in found]), long([k[1] for k in found]), long([r[0] for r in rows]), pa.array([r[1] for r in rows], type=pa.bool_()), long([r[2] for r in rows]), pa.array([r[3] for r in rows], type=pa.int64())], names=["host", "token", "parent", "is_text", "vector", "pages"])
 
     wrapped = F.sum(F.col("vector").cast("decimal(38,0)"))
-    low = F.pmod(wrapped, F.lit(2**64).cast("decimal(38,0)"))
+    low = F.pmod(wrapped, F.lit(str(2**64)).cast("decimal(38,0)"))
     return source.mapInArrow(run, TOKENS).groupBy("host", "token").agg(F.first("parent").alias("parent"), F.first("is_text").alias("is_text"), low.alias("vector"), F.sum("pages").alias("pages"))
 
 
