@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keep
+
 #: Words are runs of anything but these bytes.
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Density knots (time, height) by weight: light sources fade, heavy ones come up; each has integral 1.
@@ -32,6 +34,8 @@ SCHEDULES: dict[int, tuple[tuple[float, float], ...]] = {
     3: ((0.0, 0.5), (1.0, 1.5)),
 }
 ROWS_PER_BUCKET = 4096
+#: Sources whose few numbers are broadcast; with more of them the documents are joined by a shuffle.
+MOST_BROADCAST = 10_000
 
 
 def word_count(text: str) -> Column:
@@ -80,12 +84,14 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Col
     size = word_count("text") if size is None else size
     sized = docs.withColumn("__mix_size", size.cast("long")).withColumn("__mix_order", F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")))
     sized = sized.withColumn("__mix_source", F.col(f"`{source}`"))
-    total = sized.groupBy("__mix_source").agg(F.sum("__mix_size").alias("__mix_source_size"), F.count(F.lit(1)).alias("__n"))
-    rows = total.agg(F.max("__n")).first()[0] or 0
+    total = keep(sized.groupBy("__mix_source").agg(F.sum("__mix_size").alias("__mix_source_size"), F.count(F.lit(1)).alias("__n")), "sources")
+    sources, rows = total.agg(F.count(F.lit(1)), F.coalesce(F.max("__n"), F.lit(0))).first()
     digits = 1
     while 16**digits * ROWS_PER_BUCKET < rows and digits < 8:
         digits += 1
     by_source = targets(total.drop("__n"), weights, most_epochs)
+    if sources <= MOST_BROADCAST:
+        by_source = F.broadcast(by_source)
     bucket = F.substring("__mix_order", 1, max(digits, 2))
     sized = sized.withColumn("__mix_bucket", bucket)
     same = lambda a, b: a["__mix_source"].eqNullSafe(b["__mix_source"])

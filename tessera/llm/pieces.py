@@ -241,6 +241,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+LISTS = {"ids": "array<int>", "spans": "array<int>", "decoded": "string"}
 
 
 def encoder(path: str) -> Encoder:
@@ -249,12 +250,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", lists: bool = True) -> DataFrame:
-    """``key`` and, for its text, ``n_tokens, ids_sha256, decoded_sha256, spans_sha256``; with ``lists`` also ``ids`` (begin and end among them), ``spans`` (flat start, end in bytes of the original) and ``decoded``."""
+def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", lists: tuple[str, ...] = tuple(LISTS)) -> DataFrame:
+    """``key`` and, for its text, ``n_tokens, ids_sha256, decoded_sha256, spans_sha256`` and what ``lists`` names of ``ids`` (begin and end among them), ``spans`` (flat start, end in bytes of the original) and ``decoded``."""
     source = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
     schema = f"__id {source.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
-    if lists:
-        schema += ", ids array<int>, spans array<int>, decoded string"
+    schema += "".join(f", {n} {LISTS[n]}" for n in lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model)
@@ -270,12 +270,11 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
                     out["ids_sha256"].append(hashlib.sha256(every.tobytes()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                     out["spans_sha256"].append(hashlib.sha256(spans.astype("<u4").tobytes()).hexdigest())
-                    if lists:
-                        out["ids"].append(every.astype(np.int32))
-                        out["spans"].append(spans.astype(np.int32).ravel())
-                        out["decoded"].append(decoded)
+                    out["ids"].append(every.astype(np.int32) if "ids" in lists else None)
+                    out["spans"].append(spans.astype(np.int32).ravel() if "spans" in lists else None)
+                    out["decoded"].append(decoded if "decoded" in lists else None)
                 kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "spans": pa.list_(pa.int32())}
-                names = [n for n in out if lists or n not in ("ids", "spans", "decoded")]
+                names = [n for n in out if n not in LISTS] + list(lists)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[n], type=kinds.get(n, pa.string())) for n in names)], names=["__id", *names])
 
     return source.mapInArrow(run, schema).withColumnRenamed("__id", key)

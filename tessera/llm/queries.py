@@ -78,7 +78,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     """Ids, decoded text and byte spans of every document, as digests."""
     import public_tokenizers
 
-    return pieces.encoded(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"), lists=False)
+    return pieces.encoded(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"), lists=())
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

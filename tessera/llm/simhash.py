@@ -26,7 +26,8 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, blocks, byte_list, keep
@@ -90,9 +91,9 @@ def fingerprints(texts: list[bytes], words: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """``__id``, the key, and ``__fp``, the fingerprint as a signed long."""
-    source = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
+def fingerprinted(docs: DataFrame, keys: list[Column], text: str = "text", words: int = 3) -> DataFrame:
+    """``__id``, a struct of ``keys``, and ``__fp``, the fingerprint as a signed long."""
+    source = docs.select(F.struct(*keys).alias("__id"), F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,12 +143,31 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """``key, fingerprint, component_id`` for every row of ``docs``."""
-    marked = keep(fingerprinted(docs, key, text, words), "fingerprints")
+def grouped(marked: DataFrame) -> DataFrame:
+    """``__fp, __least``: for each fingerprint the least ``__id`` in its component."""
     fps = keep(marked.groupBy("__fp").agg(F.min("__id").alias("__least")), "distinct-fingerprints")
     found = components(links(fps.select("__fp")))
     roots = fps.join(found, fps["__fp"] == found["node"], "left").select("__fp", "__least", F.coalesce("root", "__fp").alias("root"))
-    named = roots.groupBy("root").agg(F.min("__least").alias("component_id"))
-    of = roots.join(named, "root").select("__fp", "component_id")
-    return marked.join(of, "__fp").select(F.col("__id").alias(key), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return roots.join(roots.groupBy("root").agg(F.min("__least").alias("__first")), "root").select("__fp", F.col("__first").alias("__least"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """``key, fingerprint, component_id`` for every row of ``docs``."""
+    own = F.col(f"`{key}`")
+    marked = keep(fingerprinted(docs, [own.isNull().alias("none"), own.alias("key")], text, words), "fingerprints")
+    return marked.join(grouped(marked), "__fp").select(F.col("__id.key").alias(key), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__least.key").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """One row of each component: the least by key, then by place in the files; a null key comes last. ``docs`` is read from Parquet, or written first."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        docs = keep(docs, "rows")
+    own = F.col(f"`{key}`")
+    keys = [own.isNull().alias("none"), own.alias("key"), F.xxhash64(place[0]).alias("file"), place[1].alias("row")]
+    marked = keep(fingerprinted(docs, keys, text, words), "fingerprints")
+    first = grouped(marked).select(F.col("__least.file").alias("__file"), F.col("__least.row").alias("__row"))
+    placed = docs.select("*", F.xxhash64(place[0]).alias("__file"), place[1].alias("__row"))
+    return placed.join(first, ["__file", "__row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
