@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, pictures, pieces, pii, quality, sharding, simhash, suffixes, templates
+from . import kneser_ney, mixing, oracles, pictures, pieces, pii, quality, sharding, simhash, suffixes, templates
 from .common import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,4 +91,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
