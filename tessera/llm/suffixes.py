@@ -172,6 +172,7 @@ class Family:
 
     path: str
     parts: int
+    hot: int = HOT
     levels: list[tuple[str, int]] = field(default_factory=list)
     inserted: int = 0
 
@@ -267,16 +268,16 @@ class Verdicts:
 
     def repeated(self, r: Runs) -> np.ndarray:
         """Starts of the windows of ``r`` that repeat."""
-        path, parts = self.family.path, self.family.parts
+        path, parts, hot_from = self.family.path, self.family.parts, self.family.hot
         n = by_sorted(r.suffix, self.family.counts)
         found = []
-        cold = np.flatnonzero((n > 1) & (n <= HOT))
+        cold = np.flatnonzero((n > 1) & (n <= hot_from))
         if len(cold):
             mask = by_sorted(key_of(r.suffix[cold], r.content_hashes(cold)), lambda k: self._masks(path, parts, k))
             bits = np.unpackbits(mask, axis=1, bitorder="little")[:, :MOST_WINDOWS].astype(bool)
             run, at = np.nonzero(bits)
             found.append(r.first[cold][run] + at)
-        hot = np.flatnonzero(n > HOT)
+        hot = np.flatnonzero(n > hot_from)
         if len(hot):
             at, h = r.windows(hot)
             found.append(at[by_sorted(h, lambda k: self._hot(path, parts, k))])
@@ -309,7 +310,7 @@ def key_of(suffix: np.ndarray, content: np.ndarray) -> np.ndarray:
 
 def compare(docs: DataFrame, family: Family, text: str = "text") -> Verdicts:
     """Compares the windows of runs whose suffixes occur more than once, and leaves what was found as arrays."""
-    parts, path = family.parts, family.path
+    parts, path, hot_from = family.parts, family.path, family.hot
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}  # key: times, suffix, content
@@ -333,7 +334,7 @@ def compare(docs: DataFrame, family: Family, text: str = "text") -> Verdicts:
             for pieces, _ in pieces_of(byte_list(b.column(0))):
                 r = runs_of(pieces)
                 n = by_sorted(r.suffix, family.counts)
-                cold = np.flatnonzero((n > 1) & (n <= HOT))
+                cold = np.flatnonzero((n > 1) & (n <= hot_from))
                 raw = r.buf.tobytes() if len(cold) else b""
                 for k, a, z in zip(key_of(r.suffix[cold], r.content_hashes(cold)).tolist(), r.first[cold].tolist(), (r.last[cold] + LENGTH).tolist()):
                     if k in held:
@@ -344,7 +345,7 @@ def compare(docs: DataFrame, family: Family, text: str = "text") -> Verdicts:
                 if size > FLUSH_BYTES:
                     yield from flush()
                     held, size = {}, 0
-                some = np.flatnonzero(n > HOT)
+                some = np.flatnonzero(n > hot_from)
                 if len(some):
                     hot.append(r.windows(some)[1])
                     if sum(map(len, hot)) > FLUSH_SUFFIXES:
@@ -470,11 +471,11 @@ def cut(docs: DataFrame, verdicts: Verdicts, key: str = "doc_id", text: str = "t
     return source.mapInArrow(run, schema).withColumnRenamed("__id", key)
 
 
-def family_of(batches: list[DataFrame], text: str = "text", path: str | None = None) -> Family:
+def family_of(batches: list[DataFrame], text: str = "text", path: str | None = None, hot: int = HOT) -> Family:
     spark = batches[0].sparkSession
     path = mounted(path or shared_path(spark, "suffixes"))
     os.makedirs(path, exist_ok=True)
-    out = Family(path, max(64, 8 * sum(b.rdd.getNumPartitions() for b in batches)))
+    out = Family(path, max(64, 8 * sum(b.rdd.getNumPartitions() for b in batches)), hot)
     for b in batches:
         out.insert(b, text)
     return out

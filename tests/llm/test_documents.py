@@ -1,0 +1,450 @@
+"""Each operator on documents against a plain version, and on awkward rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+import xxhash
+import zstandard
+from pyspark.sql import functions as F
+
+from tessera.llm import kneser_ney, mixing, oracles, pieces, pii, quality, queries, sharding, simhash, suffixes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts_of(df):
+    return [r["text"] for r in df.collect()]
+
+
+# quality
+
+
+def plain_counts(text):
+    w = WORD.findall(text)
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def check_quality(rows, text_of):
+    z = zstandard.ZstdCompressor(level=3)
+    for r in rows:
+        raw = text_of(r).encode()
+        n, *rest = plain_counts(text_of(r))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, *rest)
+        assert r["base_failed"] == (n < 20 or 100 * rest[-1] > 30 * n)
+        if raw:
+            assert r["ratio"] == len(raw) / len(z.compress(raw))
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_quality(spark, sf, documents, awkward, empty):
+    rows = queries.op9_quality_rules(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    check_quality(rows, lambda r: documents[r["doc_id"]])
+    odd = quality.quality(awkward).select("text", "`__quality`.*").collect()
+    assert len(odd) == 12
+    check_quality(odd, lambda r: r["text"] or "")
+    assert quality.kept(empty).collect() == [] and quality.kept(awkward).columns == awkward.columns
+
+
+def test_compression_bands_reject_repeats_and_noise():
+    import base64
+    import random
+
+    r, z, bands = random.Random(1), zstandard.ZstdCompressor(level=3), quality.Bands()
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    prose = " ".join(r.choices(words, weights=[1 / (i + 1) for i in range(3000)], k=2000)).encode()
+    noise = base64.b64encode(r.randbytes(6000))
+    repeat = (prose[:150] + b"\n") * 60
+    out = quality.judged([prose, noise, repeat, noise[:2000]], bands, z)
+    assert out["kept"].tolist()[0] and not any(out["kept"].tolist()[1:])
+
+
+# SimHash
+
+
+def plain_fingerprint(text, words=3):
+    w = text.encode().lower().split()
+    grams = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
+
+
+def plain_components(ids, fps, radius=2):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    least = {}
+    for i, k in enumerate(ids):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+def test_masks_cover_every_pair_of_positions():
+    found = simhash.masks()
+    assert len(found) == 7
+    for i in range(64):
+        for j in range(64):
+            assert any(not m >> i & 1 and not m >> j & 1 for m in found)
+
+
+def test_links_find_chains_and_large_groups(spark):
+    import random
+
+    r = random.Random(2)
+    fps = set()
+    for _ in range(40):
+        at = r.getrandbits(64)
+        for _ in range(r.randint(1, 12)):
+            fps.add(at)
+            for _ in range(r.randint(1, 3)):
+                at ^= 1 << r.randrange(64)
+    around = r.getrandbits(64)
+    fps |= {around ^ 1 << i for i in range(64)}  # one point near which 64 lie
+    fps = sorted(fps)
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "__fp long")
+    root = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    want = plain_components([simhash.signed(f) for f in fps], fps)
+    assert [root.get(simhash.signed(f), simhash.signed(f)) for f in fps] == want
+
+
+def test_simhash(spark, sf, documents, awkward, empty):
+    rows = queries.op8_simhash_near_dedup(spark, sf).collect()
+    ids = [r["doc_id"] for r in rows]
+    assert sorted(ids) == sorted(documents)
+    fps = [plain_fingerprint(documents[i]) for i in ids]
+    assert [r["fingerprint"] for r in rows] == [f"{f:016x}" for f in fps]
+    assert [r["component_id"] for r in rows] == plain_components(ids, fps)
+    odd = simhash.near_duplicates(awkward).collect()
+    assert len(odd) == 12
+    assert {r["component_id"] for r in odd if r["fingerprint"] == "0" * 16} == {2}
+    assert {r["component_id"] for r in odd if r["doc_id"] in (4, 5)} == {4}
+    kept = simhash.deduplicated(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 4, 7, 8, 9]
+    assert simhash.near_duplicates(empty).collect() == [] and simhash.deduplicated(empty).collect() == []
+
+
+# sharding
+
+
+def least_capacity(sizes, shards):
+    def fits(c):
+        n = room = 0
+        for s in sizes:
+            if s > c:
+                return False
+            if s > room:
+                n, room = n + 1, c
+            room -= s
+        return n <= shards
+
+    low, high = 0, sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid) else (mid + 1, high)
+    return low
+
+
+def check_shards(rows, text_of, shards=16):
+    groups = Counter()
+    for r in rows:
+        raw = (text_of(r) or "").encode()
+        assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "bytes" and r["grown_shard"] is None
+        groups[hashlib.sha256(raw).hexdigest()] += r["size"]
+    load, slots, of = Counter(), {}, {}
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert of.setdefault(text_of(r) or "", r["shard"]) == r["shard"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(load) <= set(range(shards))
+    assert max(load.values()) <= least_capacity([groups[k] for k in sorted(groups)], shards)
+
+
+def test_sharding(spark, sf, documents, awkward, empty):
+    rows = queries.op7_sharding(spark, sf).collect()
+    assert len(rows) == len(documents)
+    check_shards(rows, lambda r: documents[r["doc_id"]])
+    texts = texts_of(awkward)
+    odd = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4)
+    check_shards(odd.collect(), lambda r: texts[r["doc_id"]], 4)
+    assert len(sharding.shard(awkward, 3).collect()) == 12 and sharding.shard(empty).collect() == []
+
+
+def test_capacity_with_deep_prefixes(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(f"{'ab' * r.randint(0, 3)}{i:06x}", r.randint(1, 50) if r.random() < 0.97 else 900) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, size long")
+    for shards in (1, 3, 16, 399, 600):
+        p = sharding.Prefixes(df)
+        assert sharding.capacity(p, shards) == least_capacity([s for _, s in sorted(rows)], shards)
+
+
+# mixing
+
+
+def test_mixing(spark, sf, awkward, empty):
+    got = queries.op10_mixing(spark, sf).toPandas()
+    again = queries.op10_mixing(spark, sf).toPandas()
+    assert got.equals(again)
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = c.sql(oracles.OP10).df()
+    by = ["doc_id"]
+    assert got.sort_values(by).reset_index(drop=True).equals(want[got.columns].sort_values(by).reset_index(drop=True))
+    assert (got["taken"] <= 3 * got["size"]).all() and abs(got["taken"].sum() - got["size"].sum()) <= got["source_size"].nunique()
+    odd = mixing.plan(awkward)
+    assert odd.count() == 12 and odd.where("__mix_size = 0 and __mix_taken > 0").count() == 0
+    mixed = mixing.mixed(awkward)
+    assert mixed.columns == awkward.columns and 0 < mixed.count() <= 36
+    assert mixing.mixed(empty).collect() == [] and mixing.plan(empty).collect() == []
+
+
+def test_targets_are_shared_again():
+    for sizes in ([1, 1, 1, 1000], [5, 0, 7, 100, 3, 900]):
+        total, caps, weights = sum(sizes), [3 * s for s in sizes], [i % 3 + 1 for i in range(len(sizes))]
+        left, share = total, [0.0] * len(sizes)
+        open_ = set(range(len(sizes)))
+        while left > 1e-9 and open_:
+            w = sum(weights[i] for i in open_)
+            for i in list(open_):
+                share[i] += left * weights[i] / w
+            left = 0.0
+            for i in list(open_):
+                if share[i] >= caps[i]:
+                    left += share[i] - caps[i]
+                    share[i] = caps[i]
+                    open_.discard(i)
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        df = spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(sizes)], "__mix_source string, __mix_source_size long")
+        rows = {r["__mix_source"]: r["__mix_target"] for r in mixing.targets(df, (1, 2, 3), 3).collect()}
+        assert [rows[f"s{i}"] for i in range(len(sizes))] == pytest.approx(share)
+
+
+def test_inverse_integral(spark):
+    knots = ((0.0, 0.2), (0.3, 2.0), (0.5, 2.0), (1.0, 0.4))
+    rows = spark.range(101).select((F.col("id") / 100).alias("x"), mixing.inverse_integral(F.col("id") / 100, knots).alias("t")).collect()
+    total = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:]))
+    for r in rows:
+        area = 0.0
+        for (t0, h0), (t1, h1) in zip(knots, knots[1:]):
+            t = min(max(r["t"], t0), t1)
+            area += (t - t0) * (h0 + h0 + (h1 - h0) * (t - t0) / (t1 - t0)) / 2
+        assert area / total == pytest.approx(r["x"], abs=1e-9)
+
+
+# suffixes
+
+
+def plain_cut(texts, length=suffixes.LENGTH):
+    seen = Counter(hashlib.blake2b(t[i : i + length], digest_size=12).digest() for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[hashlib.blake2b(t[i : i + length], digest_size=12).digest()] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        yield len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
+
+
+def rows_of(df):
+    return sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect())
+
+
+def test_suffixes_query(spark, sf, documents):
+    got = queries.op5_suffix_dedup(spark, sf).collect()
+    assert len(got) == len(documents) and sum(r["n_removed"] for r in got)
+    assert rows_of(queries.op5_suffix_dedup(spark, sf)) == sorted(plain_cut([t.encode() for t in documents.values()]))
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 3])
+def test_suffixes_in_batches(spark, hot):
+    import random
+
+    r = random.Random(hot)
+    line = "".join(r.choices("abcdefgh é", k=230))
+    texts = ["".join(r.choices("abcdefgh \n", k=r.randint(0, 900))) for _ in range(24)]
+    texts += [t[: r.randint(0, len(t))] + line[r.randint(0, 20) :] + t[len(t) // 2 :] for t in texts] + [texts[3], texts[3], None, "", "ab" * 400, "z" * 199, "z" * 200, "q" * 201]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    batches = [docs.where(f"doc_id % 5 = {k}").repartition(2) for k in range(5)] + [docs.where("false")]
+    family = suffixes.family_of(batches, hot=hot)
+    assert [n for _, n in family.levels] == [4, 2]
+    found = suffixes.cut(docs, suffixes.compare(docs, family))
+    assert rows_of(found) == sorted(plain_cut([(t or "").encode() for t in texts]))
+    for row in found.collect():
+        raw = (texts[row["doc_id"]] or "").encode()
+        spans = list(zip(row["spans"][::2], row["spans"][1::2]))
+        assert sum(e - s for s, e in spans) == row["n_removed"] and len(raw) - len(row["kept"]) == row["n_removed"]
+
+
+def test_suffixes_on_awkward_rows(awkward, empty, monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 1 << 14)
+    family = suffixes.family_of([awkward])
+    got = rows_of(suffixes.cut(awkward, suffixes.compare(awkward, family)))
+    assert got == sorted(plain_cut([(t or "").encode() for t in texts_of(awkward)]))
+    family = suffixes.family_of([empty])
+    assert suffixes.cut(empty, suffixes.compare(empty, family)).collect() == []
+
+
+# personal data
+
+
+def plain_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(digits) <= 19 and sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_patterns_equal_plain_ones():
+    import random
+
+    r = random.Random(3)
+    for _ in range(8000):
+        t = "".join(r.choice([*"ab@.+-_ ()0123456789%é\n,", "4111 1111 1111 1111", "1.2.3.4", "@x.y", "٣"]) for _ in range(r.randint(0, 30)))
+        assert pii.base_spans(t) == plain_spans(t)
+
+
+def test_field_on_held_out_rows():
+    field = pii.default_field()
+    rows = pii.synthetic_table(300, 99)
+    texts = [t for t, _ in rows]
+    got = field.spans(texts)
+    assert got == field.spans(texts, whole=True)  # windows decode as whole texts do
+    hits, n, gold = sum(len(set(a) & set(b)) for a, (_, b) in zip(got, rows)), sum(map(len, got)), sum(len(b) for _, b in rows)
+    assert hits / n > 0.9 and hits / gold > 0.9
+    with pytest.raises(ValueError):
+        pii.train((("a", ()),) * (pii.MOST_LABELLED + 1))
+
+
+def test_pii(spark, sf, documents, awkward, empty):
+    rows = queries.op4_pii(spark, sf).collect()
+    assert len(rows) == len(documents)
+    for r in rows:
+        base = plain_spans(documents[r["doc_id"]])
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(b[0] == k for b in base) for k in pii.BASE]
+        assert set(text.split(",")) <= set(r["spans"].split(","))
+        for s in filter(None, r["spans"].split(",")):
+            kind, a, b = s.split(":")
+            assert kind in pii.ORDER and re.search(r"[0-9@]", documents[r["doc_id"]][int(a) : int(b)])
+    (row,) = [r for r in pii.redacted(awkward).collect() if r["doc_id"] == 8]
+    assert row["text"] == "mail <EMAIL> now, <IP> or <PHONE>; <CARD>"
+    clean = pii.redacted(awkward)
+    assert clean.columns == awkward.columns and clean.where("text is null").count() == 2
+    assert pii.redacted(empty).collect() == [] and pii.found(empty).collect() == [] and pii.found(awkward).count() == 12
+
+
+# pieces
+
+
+def model():
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+ODD = ["", " ", "  ", "\n", "a  b", "  a", " a ", "a ", "\ta\n\nb", "▁", "a▁b", "▁ a", "　x", "é́", "😀 x", "a\0b", "<s>", "</s> <unk>", "<0x0A>", "﻿q", "x" * 300 + " y", " \n ", "a \n b  \n", "  \n", "\n  "]
+
+
+def check_pieces(rows, text_of):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=model())
+    for r in rows:
+        text = text_of(r) or ""
+        ids = lib.encode(text, add_bos=True, add_eos=True)
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+        if "spans" in r:
+            raw, spans = text.encode(), list(zip(r["spans"][::2], r["spans"][1::2]))
+            assert r["ids"] == ids and r["decoded"] == lib.decode(ids) and len(spans) == len(ids) - 2
+            assert b"".join(raw[a:b] for a, b in spans) == raw
+            for i, (a, b) in zip(ids[1:-1], spans):
+                if not lib.is_byte(i) and "▁" not in text:
+                    assert raw[a:b].decode() in (lib.id_to_piece(i).replace("▁", " "), lib.id_to_piece(i)[1:].replace("▁", " "))
+
+
+def test_pieces(spark, sf, documents, awkward, empty):
+    rows = queries.op3_sentencepiece(spark, sf).collect()
+    assert len(rows) == len(documents)
+    check_pieces(rows, lambda r: documents[r["doc_id"]])
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    check_pieces([r.asDict() for r in pieces.encoded(df, model()).collect()], lambda r: ODD[r["doc_id"]])
+    assert pieces.encoded(awkward, model()).count() == 12 and pieces.encoded(empty, model()).collect() == []
+
+
+def trie(words):
+    """A compiled character map of ``words`` (key: replacement), in the Darts layout."""
+    import struct
+
+    target, units = b"", [0] * 4096
+    values = {}
+    for k, v in words.items():
+        values[k] = len(target)
+        target += v + b"\0"
+    taken, free = {0}, iter(range(256, 4096, 256))
+
+    def put(node, prefix):
+        children = sorted({k[len(prefix)] for k in values if k.startswith(prefix) and len(k) > len(prefix)})
+        leaf = prefix in values
+        base = next(free)
+        label = units[node] & 0xFF
+        units[node] = (node ^ base) << 10 | (1 << 8 if leaf else 0) | label
+        if leaf:
+            units[base] = 1 << 31 | values[prefix]
+        for c in children:
+            assert base ^ c not in taken
+            taken.add(base ^ c)
+            units[base ^ c] = c
+        for c in children:
+            put(base ^ c, prefix + bytes([c]))
+
+    put(0, b"")
+    return struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + target
+
+
+def test_longest_prefix_normalisation_keeps_places():
+    n = pieces.Normalizer(b"")
+    n.set_map(trie({b"ab": b"X", b"abc": b"YY", "é".encode(): b"e", b"\t": b" ", b"q": b""}))
+    n.dummy_prefix, n.remove_extra = True, True
+    raw = "  abcd\tabé  qz ".encode()
+    out, place = n.normalize(raw)
+    assert out.decode() == "▁YYd▁Xe▁z"
+    starts = {c: place[len(out.decode()[:i].encode())] for i, c in enumerate(out.decode())}
+    assert raw[starts["Y"] :].startswith(b"abc") and raw[starts["X"] :].startswith("abé".encode()) and raw[starts["z"] :].startswith(b"z")
+    assert place[-1] == len(raw) - 1 and (place[1:] >= place[:-1]).all()
+    n.set_map(b"")
+    n.remove_extra = False
+    out, place = n.normalize(" a  é".encode())
+    assert out.decode() == "▁▁a▁▁é" and place.tolist() == [0] * 6 + [1, 2, 2, 2, 3, 3, 3, 4, 4, 6]
+
+
+def test_language_model_on_awkward_rows(awkward, empty):
+    m = kneser_ney.train(awkward, order=3)
+    assert kneser_ney.scored(awkward, m).count() == 12 and kneser_ney.scored(empty, m).collect() == []
+    assert awkward.where(kneser_ney.held_out()).count() + awkward.where(~kneser_ney.held_out()).count() == 12
