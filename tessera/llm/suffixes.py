@@ -114,7 +114,8 @@ def runs_of(pieces: list[bytes]) -> Runs:
     stop = inside.copy()
     stop[:-1] &= (anchor[1:] != anchor[:-1]) | ~inside[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(stop)
-    return Runs(buf, total, np.searchsorted(end, first, side="right"), first, last, seeds[anchor[first]])
+    # anchors are least hashes: mixed once more they spread evenly over the parts
+    return Runs(buf, total, np.searchsorted(end, first, side="right"), first, last, mix(~seeds[anchor[first]]))
 
 
 def pieces_of(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
