@@ -34,6 +34,8 @@ CORNERS, SCALES, RADIUS = 40, (1.0, 0.6), 9
 TURNS, TESTS, TABLES = 32, 128, 4
 #: Bits that a match may differ in; matches that must agree; library corners that share a table entry before it is split.
 MOST_BITS, LEAST_VOTES, HOT = 14, 5, 1000
+#: Common entries that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 10_000
 #: Side of a bin of shifts, in pixels.
 BIN = 12.0
 
@@ -222,12 +224,12 @@ def described(pictures: DataFrame, key: str, image: str) -> DataFrame:
     return source.mapInArrow(run, f"__id {source.schema[0].dataType.simpleString()}, digest string, corners {CORNER}")
 
 
-def entries(corner_rows: DataFrame) -> DataFrame:
-    """One row for each corner and table: ``t``, the entry ``k`` and, for common entries, the entry with its neighbour's ``k2``."""
-    words = [F.shiftright("c.a", 32), F.col("c.a").bitwiseAND(0xFFFFFFFF), F.shiftright("c.b", 32), F.col("c.b").bitwiseAND(0xFFFFFFFF)]
-    near = [F.shiftright("c.near_a", 32), F.col("c.near_a").bitwiseAND(0xFFFFFFFF), F.shiftright("c.near_b", 32), F.col("c.near_b").bitwiseAND(0xFFFFFFFF)]
-    table = F.array(*[F.struct(F.lit(t).alias("t"), w.cast("long").alias("k"), F.xxhash64(w, n).alias("k2")) for t, (w, n) in enumerate(zip(words, near))])
-    return corner_rows.select("*", F.explode(table).alias("e")).select("*", "e.t", "e.k", "e.k2").drop("e")
+def entries(pictures: DataFrame, name: str, near: bool) -> DataFrame:
+    """One row for each corner and table: picture, place ``i``, table entry ``k`` and, if ``near``, the entry with that of the nearest neighbour's ``k2``. The descriptors stay behind."""
+    words = lambda a, b: [F.shiftrightunsigned(a, 32), F.col(a).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(b, 32), F.col(b).bitwiseAND(0xFFFFFFFF)]
+    table = [F.struct((w + F.lit(t << 32)).alias("k"), *([F.xxhash64(F.lit(t), w, n).alias("k2")] if near else [])) for t, (w, n) in enumerate(zip(words("c.a", "c.b"), words("c.near_a", "c.near_b")))]
+    rows = pictures.select(F.col("__id").alias(name), F.posexplode("corners").alias(f"i_{name}", "c"))
+    return rows.select(name, f"i_{name}", F.explode(F.array(*table)).alias("e")).select(name, f"i_{name}", "e.*")
 
 
 def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
@@ -235,16 +237,20 @@ def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str =
     shown = keep(described(library, key, image), "pictures")
     asked = keep(described(queries, key, image), "queries")
     classes = shown.groupBy("digest").agg(F.min("__id").alias("__class"), F.count(F.lit(1)).alias("members"))
-    firsts = shown.join(classes.select(F.col("__class").alias("__id"), "members"), "__id").dropDuplicates(["__id"])
-    of = entries(firsts.select(F.col("__id").alias("l"), F.explode("corners").alias("c")))
-    of = of.select("l", F.struct("c.x", "c.y", "c.scale", "c.turn", "c.a", "c.b").alias("lc"), "t", "k", "k2")
-    by = entries(asked.select(F.col("__id").alias("q"), F.posexplode("corners").alias("i", "c")))
-    by = by.select("q", "i", F.struct("c.x", "c.y", "c.scale", "c.turn", "c.a", "c.b").alias("qc"), "t", "k", "k2")
-    hot = of.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("t", "k", F.lit(True).alias("hot"))
-    split = lambda df: df.join(hot, ["t", "k"], "left").withColumn("k2", F.when(F.col("hot"), F.col("k2")).otherwise(F.lit(0))).drop("hot")
-    met = split(by).join(split(of), ["t", "k", "k2"])
+    firsts = keep(shown.join(classes.select(F.col("__class").alias("__id"), "members"), "__id").dropDuplicates(["__id"]), "firsts")
+    hot = keep(entries(firsts, "l", False).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("k"), "common-entries")
+    common = hot.count()
+    of, by = entries(firsts, "l", common > 0), entries(asked, "q", common > 0)
+    if common:
+        hot = F.broadcast(hot) if common <= MOST_BROADCAST else hot
+        split = lambda df: df.join(hot.withColumn("hot", F.lit(True)), "k", "left").withColumn("k2", F.when(F.col("hot"), F.col("k2")).otherwise(F.lit(0))).drop("hot")
+        of, by = split(of), split(by)
+    met = by.join(of, ["k", "k2"] if common else ["k"]).select("q", "i_q", "l", "i_l").distinct()
+    corner = lambda i: F.get("corners", F.col(i))
+    met = met.join(asked.select(F.col("__id").alias("q"), "corners"), "q").select("q", F.col("i_q").alias("i"), "l", "i_l", corner("i_q").alias("qc"))
+    met = met.join(firsts.select(F.col("__id").alias("l"), "corners"), "l").select("q", "i", "l", "qc", corner("i_l").alias("lc"))
     differ = F.bit_count(F.col("qc.a").bitwiseXOR(F.col("lc.a"))) + F.bit_count(F.col("qc.b").bitwiseXOR(F.col("lc.b")))
-    met = met.where(differ <= MOST_BITS).select("q", "i", "l", "qc", "lc").distinct()
+    met = met.where(differ <= MOST_BITS)
     turn = F.pmod(F.col("lc.turn") - F.col("qc.turn"), F.lit(TURNS))
     scales = F.array(*map(F.lit, SCALES))
     ratio = F.get(scales, F.col("qc.scale")) / F.get(scales, F.col("lc.scale"))
