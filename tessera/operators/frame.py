@@ -202,7 +202,8 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 
 def ordered(df: DataFrame, *keys: tuple[str, str] | str) -> DataFrame:
     """Mixed directions, nulls last either way."""
-    return df.orderBy(*[F.col(k).asc_nulls_last() if isinstance(k, str) or k[1] == "asc" else F.col(k[0]).desc_nulls_last() for k in [(k, "asc") if isinstance(k, str) else k for k in keys]])
+    pairs = [(k, "asc") if isinstance(k, str) else k for k in keys]
+    return df.orderBy(*[F.col(k).asc_nulls_last() if way == "asc" else F.col(k).desc_nulls_last() for k, way in pairs])
 
 
 def tail(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

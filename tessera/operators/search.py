@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ class Index:
         per = sized.groupBy("term", "doc").agg(F.sum(boost[F.col("field")] * part).alias("w")).join(df, "term").crossJoin(F.broadcast(n_docs))
         idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         scores = asked.join(per.select("term", "doc", (idf * F.col("w")).alias("s")), "term").groupBy("q", "doc").agg(F.sum("s").alias("score"))
-        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "doc"))
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "doc"))
         return scores.withColumn("rank", rank).where(F.col("rank") <= limit).withColumnRenamed("q", key)
 
     def suggest(self, words: DataFrame, column: str, most: int = 2) -> DataFrame:
@@ -101,13 +102,12 @@ def scan(docs: DataFrame, fields: Sequence[str], text: str) -> DataFrame:
 
 def damerau(a: Column, b: Column, most: int = 2) -> Column:
     """Edit distance in which swapped neighbours count once, by row in numpy-free Python over Arrow batches; above ``most`` it is ``most`` + 1."""
-    import pandas as pd
 
-    @F.pandas_udf("int")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+
+    def distance(x, y):
         return pd.Series([edit_distance(p, q, most) if p is not None and q is not None else None for p, q in zip(x, y)], dtype="Int32")
 
-    return distance(a, b)
+    return F.pandas_udf(distance, "int", F.PandasUDFType.SCALAR)(a, b)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:

@@ -591,7 +591,7 @@ class Plan:
         df = self.df
         if any(s.kind == "exit" for s in statements(program)):
             ahead = Window.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
-            df = df.where(~F.coalesce(F.max("__exit").over(ahead), F.lit(False)))
+            df = df.withColumn("__after", F.coalesce(F.max("__exit").over(ahead), F.lit(False))).where("not __after")
         return df, self.checks
 
     def body(self, program: list[Statement], guard: str | None) -> None:

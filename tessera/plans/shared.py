@@ -6,17 +6,22 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet below ``spark.checkpoint.dir`` and read again, so that a lost executor changes nothing."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local master gets a folder of its own where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
+        found = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return found.rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet below the shared folder and read again, so that a lost executor changes nothing."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from ..operators import aggregates as A
 from ..registry import query, table
 
 
-def rounded(df, **digits):
+def rounded(df, /, **digits):
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
@@ -27,7 +27,7 @@ def weighted_statistics(spark, d):
     return rounded(A.weighted(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity"), mean=4, variance=2)
 
 
-@query("WITH a AS (SELECT l_quantity AS v, sum(l_linenumber) AS w FROM lineitem GROUP BY 1), p AS (SELECT v, (sum(w) OVER (ORDER BY v) - w / 2) / sum(w) OVER () AS p FROM a), n AS (SELECT v, p, lead(v) OVER (ORDER BY v) AS v2, lead(p) OVER (ORDER BY v) AS p2 FROM p) SELECT q, v + (v2 - v) * (q - p) / (p2 - p) AS value FROM n, (SELECT unnest([0.25, 0.5, 0.9]) AS q) WHERE p <= q AND q < p2")
+@query("WITH a AS (SELECT l_quantity AS v, sum(l_linenumber) AS w FROM lineitem GROUP BY 1), p AS (SELECT v, (sum(w) OVER (ORDER BY v) - w / 2) / sum(w) OVER () AS p FROM a), n AS (SELECT v, p, lead(v) OVER (ORDER BY v) AS v2, lead(p) OVER (ORDER BY v) AS p2 FROM p) SELECT q, round(v + (v2 - v) * (q - p) / (p2 - p), 6) AS value FROM n, (SELECT unnest([0.25, 0.5, 0.9]::double[]) AS q) WHERE p <= q AND q < p2")
 def weighted_quantiles(spark, d):
     out = A.weighted_quantiles(table(spark, d, "lineitem"), "l_quantity", "l_linenumber", [0.25, 0.5, 0.9])
     return out.select(F.col("q").cast("double").alias("q"), F.col("value").cast("double").alias("value")).withColumns({"value": F.round("value", 6)})
@@ -58,9 +58,9 @@ def grade_and_tonnage(spark, d):
     return rounded(A.grade_tonnage(table(spark, d, "lineitem"), "l_discount", "l_quantity", [0.0, 0.02, 0.04, 0.06, 0.08]), grade=6)
 
 
-@query("SELECT floor((l_quantity * 0.6 + l_linenumber * 0.8) / 5)::bigint AS slice, count(*) AS n, round(sum(l_discount * l_extendedprice) / sum(l_extendedprice), 6) AS mean FROM lineitem GROUP BY 1")
+@query("SELECT floor((l_quantity * 0.5::double + l_linenumber * 0.25::double) / 5)::bigint AS slice, count(*) AS n, round(sum(l_discount * l_extendedprice) / sum(l_extendedprice), 6) AS mean FROM lineitem GROUP BY 1")
 def swath_means(spark, d):
-    return rounded(A.swath(table(spark, d, "lineitem"), ["l_quantity", "l_linenumber"], [0.6, 0.8], 0.0, 5.0, "l_discount", "l_extendedprice"), mean=6)
+    return rounded(A.swath(table(spark, d, "lineitem"), ["l_quantity", "l_linenumber"], [0.5, 0.25], 0.0, 5.0, "l_discount", "l_extendedprice"), mean=6)
 
 
 @query("SELECT coalesce(nullif(l_returnflag, 'N'), '—') AS key, ((l_discount >= 0.03)::int + (l_discount >= 0.07)::int) AS class, sum(l_quantity) AS weight, round(sum(l_quantity * l_discount), 4) AS metal, count(*) AS n FROM lineitem GROUP BY 1, 2")

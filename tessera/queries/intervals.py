@@ -59,10 +59,10 @@ def composite_by_category(spark, d):
     return out.select("hole", "f", "support", F.round("value", 6).alias("value"), "g")
 
 
-QA = "WITH o AS (SELECT o_custkey AS hole, o_orderkey, (o_orderkey % 50)::double AS f, (o_orderkey % 50 + o_orderkey % 9 - 1)::double AS t FROM orders), w AS (SELECT *, lag(t) OVER (PARTITION BY hole ORDER BY f, t) AS p FROM o), c AS (SELECT hole, 'inverted' AS check FROM w WHERE t < f UNION ALL SELECT hole, 'empty' FROM w WHERE t = f UNION ALL SELECT hole, 'gap' FROM w WHERE f - p > 1e-9 UNION ALL SELECT hole, 'overlap' FROM w WHERE p - f > 1e-9) "
+QA = "WITH o AS (SELECT o_custkey AS hole, o_orderkey, (o_orderkey % 50)::double AS f, (o_orderkey % 50 + o_orderkey % 9 - 1)::double AS t FROM orders), w AS (SELECT *, lag(t) OVER (PARTITION BY hole ORDER BY f, t) AS p FROM o), c AS (SELECT hole, 'inverted' AS \"check\" FROM w WHERE t < f UNION ALL SELECT hole, 'empty' FROM w WHERE t = f UNION ALL SELECT hole, 'gap' FROM w WHERE f - p > 1e-9 UNION ALL SELECT hole, 'overlap' FROM w WHERE p - f > 1e-9) "
 
 
-@query(QA + "SELECT check, count(*) AS n, count(DISTINCT hole) AS holes FROM c GROUP BY 1")
+@query(QA + "SELECT \"check\", count(*) AS n, count(DISTINCT hole) AS holes FROM c GROUP BY 1")
 def interval_checks(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("hole"), "o_orderkey", (F.col("o_orderkey") % 50).cast("double").alias("f"), (F.col("o_orderkey") % 50 + F.col("o_orderkey") % 9 - 1).cast("double").alias("t"))
     return I.summary(I.findings(o, "hole", "f", "t"), "hole")

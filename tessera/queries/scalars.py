@@ -19,7 +19,7 @@ def rounding_family(spark, d):
     return table(spark, d, "part").select("p_partkey", B.round_half_up(n, 1).alias("half_up"), B.truncate(n).alias("whole"), B.floored_mod(-F.col("p_size").cast("double"), F.lit(3.0)).alias("rest"), B.lower_edge(F.col("p_size").cast("double"), F.lit(4.0), F.lit(1.0)).alias("edge"))
 
 
-@query("SELECT p_partkey, round(p_size * 0.3048, 6) AS metres, round(p_size * 31.1034768, 4) AS grams_per_tonne, round(least(greatest(p_retailprice, 1000), 1500), 2) AS clamped, round((p_size - 1) * 100.0 / 49, 6) AS percent FROM part")
+@query("SELECT p_partkey, round(p_size * 0.3048::double, 6) AS metres, round(p_size * 31.1034768::double, 4) AS grams_per_tonne, round(least(greatest(p_retailprice, 1000), 1500), 2) AS clamped, round((p_size - 1) * 100.0 / 49, 6) AS percent FROM part")
 def units_clamp_remap(spark, d):
     s = F.col("p_size").cast("double")
     return table(spark, d, "part").select("p_partkey", F.round(B.convert(s, "ft", "m"), 6).alias("metres"), F.round(B.convert(s, "oz/t", "g/t"), 4).alias("grams_per_tonne"), F.round(B.clamp(F.col("p_retailprice"), 1000, 1500), 2).alias("clamped"), F.round(B.remap(s, 1, 50, 0, 100), 6).alias("percent"))

@@ -17,7 +17,7 @@ def search_vocabulary(spark, d):
 @query(f"""WITH t AS (SELECT doc_id AS doc, {TOKENS.format('text')} AS t FROM documents), l AS (SELECT doc, len(t) AS n FROM t), p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM t) GROUP BY 1, 2),
  a AS (SELECT item_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM benchmark), g AS (SELECT avg(n) AS avg_n, count(*) AS docs FROM l), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
  s AS (SELECT item_id, p.doc, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avg_n))) AS score FROM a JOIN p USING (term) JOIN f USING (term) JOIN l ON l.doc = p.doc, g GROUP BY 1, 2)
- SELECT item_id, doc, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc) <= 1""")
+ SELECT item_id, doc, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc) <= 1""")
 def search_ranked(spark, d):
     found = S.Index.build(table(spark, d, "documents"), "doc_id", {"text": 1.0}).search(table(spark, d, "benchmark"), "item_id", "text", 1)
     return found.select("item_id", "doc", F.round("score", 4).alias("score"))
