@@ -33,9 +33,9 @@ from .common import blocks, byte_list
 
 SPACE = "▁"
 #: Bytes of text whose new segments go to the library in one call.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: Segments that a worker remembers; then it forgets all and starts again.
-MOST_SEGMENTS = 600_000
+MOST_SEGMENTS = 200_000
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
