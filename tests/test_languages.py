@@ -51,6 +51,7 @@ def test_columns_equal_plain_evaluation(spark):
 
 def test_plain_comparisons_reach_the_scan(spark, sf):
     df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = expressions.where(df, "l_quantity < 24 and l_discount between 0.05 and 0.07")._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(l_quantity,24.0)" in plan and "GreaterThanOrEqual(l_discount,0.05)" in plan
 
