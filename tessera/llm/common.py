@@ -45,11 +45,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 arrays."""
     h = h ^ (h >> U64(32))
