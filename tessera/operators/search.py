@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import keep
+
 #: Common words that carry no meaning (fixed values).
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -34,7 +36,7 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, key: str, fields: dict[str, float]) -> Index:
         long = docs.select(F.col(key).alias("doc"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("x"))
-        long = long.select("doc", "x.field", "x.t")
+        long = keep(long.select("doc", "x.field", "x.t"))  # texts are cut into terms once
         lengths = long.select("doc", "field", F.size("t").alias("n"))
         terms = long.select("doc", "field", F.posexplode("t").alias("at", "term"))
         postings = terms.groupBy("term", "doc", "field").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("first"))
