@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blanks as B
+from .frame import running_total
 
 
 def moments(c: Column) -> Column:
@@ -39,22 +40,20 @@ def weighted(df: DataFrame, keys: Sequence[str], value: str, weight: str, ddof:
 
 def weighted_quantiles(df: DataFrame, value: str, weight: str, points: Sequence[float]) -> DataFrame:
     """Quantiles at mid-weight positions, linear between them. Equal values are one, with their weights summed, before any order is made."""
-    one = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(F.col(value).cast("double").alias("v")).agg(F.sum(weight).alias("w"))
-    order = Window.orderBy("v")
-    upto, everything = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    p = one.withColumn("p", (F.sum("w").over(upto) - F.col("w") / 2) / F.sum("w").over(everything))
-    p = p.withColumns({"v2": F.lead("v").over(order), "p2": F.lead("p").over(order), "first": F.min("p").over(everything), "last": F.max("p").over(everything), "low": F.min("v").over(everything), "high": F.max("v").over(everything)})
-    asked = F.explode(F.array(*map(F.lit, points))).alias("q")
-    rows = p.select("*", asked).where(((F.col("p") <= F.col("q")) & (F.col("q") < F.coalesce("p2", F.lit(2.0)))) | ((F.col("q") < F.col("first")) & (F.col("p") == F.col("first"))))
-    inside = F.col("v") + (F.col("v2") - F.col("v")) * F.try_divide(F.col("q") - F.col("p"), F.col("p2") - F.col("p"))
-    return rows.select("q", F.when(F.col("q") <= F.col("first"), F.col("low")).when(F.col("q") >= F.col("last"), F.col("high")).otherwise(inside).alias("value"))
+    one = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(F.col(value).cast("double").alias("v")).agg(F.sum(weight).cast("double").alias("w"))
+    summed = running_total(one, ["v"], "w", "upto").crossJoin(F.broadcast(one.agg(F.sum("w").alias("total"))))
+    p = summed.select("v", ((F.col("upto") - F.col("w") / 2) / F.col("total")).alias("p"), F.explode(F.array(*[F.lit(float(x)) for x in points])).alias("q"))
+    at, of = F.struct("p", "v"), lambda c, f: f(F.when(c, F.struct("p", "v")))
+    ends = p.groupBy("q").agg(of(F.col("p") <= F.col("q"), F.max).alias("a"), of(F.col("p") > F.col("q"), F.min).alias("b"), F.min(at).alias("first"), F.max(at).alias("last"))
+    inside = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("q") - F.col("a.p")) / (F.col("b.p") - F.col("a.p"))
+    return ends.select("q", F.when(F.col("a").isNull(), F.col("first.v")).when(F.col("b").isNull(), F.col("last.v")).otherwise(inside).alias("value"))
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Share of rows at or below each distinct value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(value, (F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy())).alias("share"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return running_total(counts, [value], "n", "upto").crossJoin(F.broadcast(total)).select(value, (F.col("upto") / F.col("total")).alias("share"))
 
 
 def bin_of(c: Column, low: float, high: float, n: int, closed: bool = False) -> Column:
@@ -155,10 +154,13 @@ def profile(df: DataFrame, column: str, points: Sequence[float] = (0.25, 0.5, 0.
     """A text column read as numbers: count, nulls, bad, zeros, mean, std, population skewness, variation and nearest-rank quantiles."""
     raw = B.null_tokens(F.col(column))
     v = B.number(raw)
-    ranked = F.sort_array(F.collect_list(v))
     n = F.count(v)
-    nearest = [F.get(ranked, B.round_half_up((n - 1) * F.lit(p)).cast("int")).alias(f"q{int(p * 100)}") for p in points]
-    return df.agg(F.count(F.lit(1)).alias("count"), n.alias("n"), F.count_if(raw.isNull()).alias("nulls"), F.count_if(raw.isNotNull() & v.isNull()).alias("bad"), F.count_if(v == 0).alias("zeros"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.skewness(v).alias("skew"), F.try_divide(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.avg(v)).alias("cv"), F.min(v).alias("min"), F.max(v).alias("max"), *nearest)
+    one = df.agg(F.count(F.lit(1)).alias("count"), n.alias("n"), F.count_if(raw.isNull()).alias("nulls"), F.count_if(raw.isNotNull() & v.isNull()).alias("bad"), F.count_if(v == 0).alias("zeros"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.skewness(v).alias("skew"), F.try_divide(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.avg(v)).alias("cv"), F.min(v).alias("min"), F.max(v).alias("max"))
+    # quantiles are the values up to which enough rows lie: sums over distinct values, no list of them
+    counts = df.select(v.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    upto = running_total(counts, ["v"], "c", "upto").crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))
+    nearest = [F.min(F.when(F.col("upto") > B.round_half_up((F.col("n") - 1) * F.lit(p)), F.col("v"))).alias(f"q{int(p * 100)}") for p in points]
+    return one.crossJoin(F.broadcast(upto.agg(*nearest)))
 
 
 def group_with_total(df: DataFrame, key: str, value: str, weight: str | None = None) -> DataFrame:

@@ -75,6 +75,15 @@ def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> Da
     return parts.join(F.broadcast(ahead), "__part").withColumn(name, F.col("__at") - F.col("__first") + F.col("__ahead")).drop("__part", "__at", "__first", "__ahead")
 
 
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` up to and with each row of the order, in ranges that are summed apart and then shifted."""
+    parts = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    sums = parts.groupBy("__part").agg(F.sum(value).alias("__n"))
+    ahead = sums.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(F.broadcast(ahead), "__part").withColumn(name, inside + F.col("__ahead")).drop("__part", "__ahead")
+
+
 # joins
 
 

@@ -30,9 +30,25 @@ def rolling(c: Column, width: int, of: Callable[[Column], Column], keys: Sequenc
     return of(c).over(by(keys, order).rowsBetween(-(width - 1), 0))
 
 
-def fold(c: Column, start: Column, step: Callable[[Column, Column], Column], keys: Sequence[str], order: Sequence[str]) -> Column:
-    """A running fold by any function, over the rows so far. Sums, products and extremes have windows of their own that cost less."""
-    return F.aggregate(F.collect_list(c).over(upto(keys, order)), start, step)
+def fold(df: DataFrame, value: str, start, step: Callable, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """A running fold by any function of (state, value). Rows are dealt by key and sorted, and one pass carries a state per key: linear, and no group is held."""
+    kind = df.schema[value].dataType.simpleString()
+
+    def scan(frames):
+        last, state = None, start
+        for f in frames:
+            out = []
+            for k, v in zip(zip(*(f[c] for c in keys)), f[value]):
+                if k != last:
+                    last, state = k, start
+                state = step(state, v)
+                out.append(state)
+            f[name] = out
+            yield f
+
+    sorted_ = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ddl = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema.fields)
+    return sorted_.mapInPandas(scan, f"{ddl}, `{name}` {kind}")
 
 
 def runs(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

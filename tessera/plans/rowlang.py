@@ -590,8 +590,9 @@ class Plan:
         self.body(program, None)
         df = self.df
         if any(s.kind == "exit" for s in statements(program)):
-            ahead = Window.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
-            df = df.withColumn("__after", F.coalesce(F.max("__exit").over(ahead), F.lit(False))).where("not __after")
+            place = F.struct(*self.order)
+            first = df.agg(F.min(F.when(F.col("__exit"), place)).alias("__first"))
+            df = df.crossJoin(F.broadcast(first)).where(F.col("__first").isNull() | (place <= F.col("__first"))).drop("__first")
         return df, self.checks
 
     def body(self, program: list[Statement], guard: str | None) -> None:

@@ -21,11 +21,10 @@ def rolling_window(spark, d):
     return df.select("event_id", F.round(W.rolling(F.col("value"), 5, F.avg, K, O), 6).alias("mean"), W.rolling(F.col("value"), 5, F.max, K, O).alias("high"))
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id < 5), r AS (SELECT event_id, user_id, i, value * 0.1::double AS s FROM e WHERE i = 1 UNION ALL SELECT e.event_id, e.user_id, e.i, r.s * 0.9::double + e.value * 0.1::double FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT event_id, round(s, 6) AS smooth FROM r")
 def running_fold(spark, d):
-    df = table(spark, d, "events").where("user_id < 5")
-    step = lambda a, x: a * 0.9 + x * 0.1
-    return df.select("event_id", F.round(W.fold(F.col("value"), F.lit(0.0), step, K, O), 6).alias("smooth"))
+    df = table(spark, d, "events").where("user_id < 5").select("event_id", "ts", "user_id", "value")
+    return W.fold(df, "value", 0.0, lambda a, x: a * 0.9 + x * 0.1, K, O, "s").select("event_id", F.round("s", 6).alias("smooth"))
 
 
 @query("WITH m AS (SELECT *, coalesce((event_type <> lag(event_type) OVER w)::int, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM m) SELECT user_id, any_value(event_type) AS event_type, min(ts) AS first, max(ts) AS last, count(*) AS length FROM r GROUP BY user_id, run")
