@@ -92,3 +92,14 @@ def source_lines(spark, d):
     table(spark, d, "documents").select(F.concat(F.lit("# a comment\n"), F.regexp_replace("text", "\r", "")).alias("value")).write.text(path)
     out = text.lines(spark, path, "#").where(F.startswith("line", F.lit("T")))
     return out.groupBy(F.trim("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey::double AS KEY, p_brand AS BRAND, CASE WHEN p_size = 7 THEN NULL ELSE p_size::double END AS SIZE FROM part")
+def source_paged_binary(spark, d):
+    from ..sources import paged
+
+    p = table(spark, d, "part").orderBy("p_partkey").toPandas()
+    raw = paged.encode({"KEY": p["p_partkey"].tolist(), "BRAND": p["p_brand"].tolist(), "OTHER": p["p_retailprice"].tolist(), "SIZE": [None if s == 7 else s for s in p["p_size"].tolist()]})
+    decode = lambda frames: (paged.decode(r, ["KEY", "BRAND", "SIZE"]) for f in frames for r in f["content"])
+    out = spark.createDataFrame([(bytearray(raw),)], "content binary").mapInPandas(decode, "KEY double, BRAND string, SIZE double")
+    return out.withColumn("SIZE", F.when(~F.isnan("SIZE"), F.col("SIZE")))
