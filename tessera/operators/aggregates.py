@@ -5,6 +5,7 @@ Every function is a partial and final hash aggregation; none gathers a group's v
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -224,3 +225,30 @@ def variogram(df: DataFrame, key: str, coordinates: Sequence[str], value: str, l
     h = F.sqrt(sum(((F.col(f"x{i}") - F.col(f"x{i}_b")) ** 2 for i in range(len(coordinates))), F.lit(0.0)))
     pairs = a.join(b, on).select(h.alias("h"), ((F.col("v") - F.col("v_b")) ** 2).alias("d")).where((F.col("h") > 0) & (F.col("h") < reach))
     return pairs.groupBy(F.floor(F.col("h") / lag).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("pairs"), F.avg("h").alias("distance"), (F.avg("d") / 2).alias("gamma"))
+
+
+def decluster_sweep(df: DataFrame, coordinates: Sequence[str], key: str, value: str, sizes: Sequence[float]) -> DataFrame:
+    """The declustered mean for each cell size; the size with the least (or greatest) mean is the usual choice."""
+    out = None
+    for s in sizes:
+        one = df.select(key, value).join(decluster(df, coordinates, key, s), key).agg((F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).alias("mean")).select(F.lit(float(s)).alias("size"), "mean")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def fit_variogram(lags: Sequence[tuple[float, float, int]], steps: int = 60) -> tuple[float, float, float]:
+    """Nugget, sill and range of a spherical model by weighted least squares: for each range of a grid the other two are linear. ``lags`` has (distance, gamma, pairs)."""
+    import numpy as np
+
+    h, g, n = (np.array(x, dtype=float) for x in zip(*lags))
+    best = (math.inf, (0.0, float(g.mean()), float(h.max())))
+    for reach in np.linspace(h.max() / steps, 2 * h.max(), steps):
+        r = np.minimum(h / reach, 1)
+        shape = 1.5 * r - 0.5 * r**3
+        a = np.stack((np.ones_like(h), shape), axis=1) * np.sqrt(n)[:, None]
+        nugget, sill = np.linalg.lstsq(a, g * np.sqrt(n), rcond=None)[0]
+        nugget = max(nugget, 0.0)
+        sill = max(sill, 0.0)
+        miss = float((n * (nugget + sill * shape - g) ** 2).sum())
+        best = min(best, (miss, (float(nugget), float(sill), float(reach))))
+    return best[1]

@@ -122,3 +122,36 @@ def contour_crossings(a: DataFrame, level: float) -> DataFrame:
         t = (F.lit(level) - p) / (q - p)
         out.append(F.when((p < level) != (q < level), F.struct(F.lit(name).alias("edge"), (F.col("i") + t * di).alias("y"), (F.col("j") + t * dj).alias("x"))))
     return rows.select("i", "j", F.explode(F.array_compact(F.array(*out))).alias("c")).select("i", "j", "c.*")
+
+
+def fill_sinks(a: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """Each inner cell raised to the lowest level from which water gets to the edge. Levels start at infinity and fall to ``max(v, least neighbour)`` until nothing changes; each round is one neighbourhood aggregation into a shared table."""
+    from ..plans.shared import keep
+
+    around = [at(di, dj) for di, dj in NEAR if di or dj]
+    edge = F.lit(False)
+    for c in around:
+        edge |= c.isNull()
+    start = keep(neighbourhood(a).select("i", "j", at(0, 0).alias("v"), edge.alias("edge")))
+    level = keep(start.select("i", "j", F.when(F.col("edge"), F.col("v")).otherwise(F.lit(float("inf"))).alias("v")))
+    for _ in range(rounds):
+        low = neighbourhood(level).select("i", "j", F.least(*around).alias("low"), at(0, 0).alias("now"))
+        new = keep(low.join(start, ["i", "j"]).select("i", "j", F.when(F.col("edge"), F.col("v")).otherwise(F.least("now", F.greatest("v", "low"))).alias("v"), "now"))
+        if new.where("v <> now").isEmpty():
+            return level
+        level = new.select("i", "j", "v")
+    return level
+
+
+def watershed(directions: DataFrame) -> DataFrame:
+    """``i, j, oi, oj``: the outlet that each cell drains to, by doubling jumps."""
+    from ..plans.shared import keep
+
+    jump = keep(directions.select("i", "j", (F.col("i") + F.coalesce("di", F.lit(0))).alias("oi"), (F.col("j") + F.coalesce("dj", F.lit(0))).alias("oj")))
+    while True:
+        nxt = jump.select(F.col("i").alias("oi"), F.col("j").alias("oj"), F.col("oi").alias("ui"), F.col("oj").alias("uj"))
+        new = keep(jump.join(nxt, ["oi", "oj"]).select("i", "j", F.col("ui").alias("oi"), F.col("uj").alias("oj"), ((F.col("ui") != F.col("oi")) | (F.col("uj") != F.col("oj"))).alias("moved")))
+        done = new.where("moved").isEmpty()
+        jump = new.drop("moved")
+        if done:
+            return jump

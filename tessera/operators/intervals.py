@@ -162,3 +162,31 @@ def grid_resample(df: DataFrame, axes: Sequence[str], size_from: float, size_to:
         volume *= F.col(f"__o_{a}")
     whole = size_to ** len(axes)
     return rows.groupBy(*[F.col(f"__t_{a}").alias(a) for a in axes]).agg(F.try_divide(F.sum(F.col(value) * volume), F.sum(F.when(F.col(value).isNotNull(), volume))).alias(value), (F.sum(F.when(F.col(value).isNotNull(), volume)) / whole).alias("coverage"))
+
+
+def validate(collars: DataFrame, surveys: DataFrame, table: DataFrame, key: str, start: str, end: str, xyz: Sequence[str] = ("x", "y", "z"), deepest: str = "eoh", depth: str = "depth") -> tuple[DataFrame, DataFrame]:
+    """Rows that can be used, with their collar, and how many were left out for which reason; nothing goes silently. The first collar of a hole counts."""
+    numbered = collars.withColumn("__seq", F.monotonically_increasing_id())
+    bad = F.lit(False)
+    for c in xyz:
+        bad |= F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    first = first_per_key(numbered, key, ["__seq"]).withColumn("__bad", bad)
+    duplicates = collars.agg((F.count(F.lit(1)) - F.count_distinct(key)).alias("n")).select(F.lit("dup-collar").alias("check"), "n")
+    bad_collars = first.where("__bad").agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad-collar").alias("check"), "n")
+    orphan = lambda t, name: t.join(first, key, "left_anti").agg(F.count_distinct(key).alias("n")).select(F.lit(name).alias("check"), "n")
+    broken = table.where(~F.coalesce(F.col(end) > F.col(start), F.lit(False))).agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad-interval").alias("check"), "n")
+    past = lambda t, c, name: t.join(first.select(key, deepest), key).where(F.col(c) > F.col(deepest) + EPS).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+    counts = duplicates
+    for part in (bad_collars, orphan(surveys, "orphan-survey"), orphan(table, "orphan-interval"), broken, past(surveys, depth, "survey-past-eoh"), past(table, end, "interval-past-eoh")):
+        counts = counts.unionByName(part)
+    usable = table.where(F.col(end) > F.col(start)).join(first.where("not __bad").drop("__bad", "__seq"), key)
+    return usable, counts.where("n > 0")
+
+
+def axis_geometry(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
+    """Origin, pitch and count of a regular axis: the commonest gap between neighbouring distinct coordinates."""
+    points = df.select(F.round(column, digits).alias("x")).where(F.col("x").isNotNull()).distinct()
+    gaps = points.select("x", F.round(F.col("x") - F.lag("x").over(Window.orderBy("x")), digits).alias("g")).where("g is not null")
+    pitch = gaps.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("g", F.struct(-F.col("n"), "g")).alias("pitch"))
+    ends = points.agg(F.min("x").alias("origin"), F.max("x").alias("last"))
+    return ends.crossJoin(F.broadcast(pitch)).select("origin", "pitch", (F.round((F.col("last") - F.col("origin")) / F.col("pitch")) + 1).cast("long").alias("count"))

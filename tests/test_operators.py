@@ -158,3 +158,34 @@ def test_kriging_is_exact_at_samples(spark):
 def test_flow_accumulation_on_a_slope(spark):
     a = spark.createDataFrame([(i, j, float(10 - i)) for i in range(6) for j in range(1)], "i long, j long, v double")
     assert rows(arrays.accumulation(arrays.flow_direction(a)), "i") == [(i, 0, i + 1) for i in range(6)]
+
+
+def test_validation_of_holes(spark):
+    nan = float("nan")
+    collars = spark.createDataFrame([("H1", 0.0, 0.0, 100.0, 10.0), ("H2", 0.0, 0.0, 0.0, None), ("H1", 9.0, 9.0, 9.0, 9.0), ("H3", nan, 0.0, 0.0, None), ("H4", 0.0, 0.0, 101.0, None)], "hole string, x double, y double, z double, eoh double").coalesce(1)
+    surveys = spark.createDataFrame([("H1", 0.0), ("H1", 12.0), ("HX", 0.0)], "hole string, depth double")
+    table = spark.createDataFrame([("H1", 0.0, 5.0), ("H1", 5.0, 3.0), ("HY", 0.0, 1.0), ("H1", 3.0, 3.0), ("H4", 0.0, 2.0)], "hole string, f double, t double")
+    usable, counts = intervals.validate(collars, surveys, table, "hole", "f", "t")
+    assert {r["check"]: r["n"] for r in counts.collect()} == {"dup-collar": 1, "bad-collar": 1, "bad-interval": 2, "orphan-survey": 1, "orphan-interval": 1, "survey-past-eoh": 1}
+    assert [r["hole"] for r in usable.orderBy("hole").collect()] == ["H1", "H4"] and usable.where("hole = 'H1'").first()["x"] == 0.0
+
+
+def test_axis_geometry(spark):
+    df = spark.createDataFrame([(5.0 + 2.5 * i,) for i in range(8) for _ in range(3) if i != 4], "x double")
+    assert tuple(intervals.axis_geometry(df, "x").first()) == (5.0, 2.5, 8)
+
+
+def test_sinks_and_watersheds(spark):
+    z = np.array([[9, 9, 9, 9, 9], [9, 3, 4, 8, 9], [9, 4, 2, 7, 6], [9, 8, 7, 7, 9], [9, 9, 9, 9, 9]], dtype=float)
+    a = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(5) for j in range(5)], "i long, j long, v double")
+    got = {(r["i"], r["j"]): r["v"] for r in arrays.fill_sinks(a).collect()}
+    assert got[2, 2] == got[1, 1] == got[1, 2] == 7.0 and got[1, 3] == 8.0 and got[0, 0] == 9.0
+    slope = spark.createDataFrame([(i, 0, float(10 - i)) for i in range(6)], "i long, j long, v double")
+    assert {(r["oi"], r["oj"]) for r in arrays.watershed(arrays.flow_direction(slope)).collect()} == {(5, 0)}
+
+
+def test_variogram_fit():
+    h = np.arange(10, 200, 10)
+    gamma = 0.2 + 1.3 * np.where(h < 120, 1.5 * h / 120 - 0.5 * (h / 120) ** 3, 1)
+    nugget, sill, reach = aggregates.fit_variogram([(float(x), float(y), 50) for x, y in zip(h, gamma)])
+    assert nugget == pytest.approx(0.2, abs=0.05) and sill == pytest.approx(1.3, abs=0.05) and reach == pytest.approx(120, abs=8)
