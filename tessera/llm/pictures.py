@@ -258,7 +258,10 @@ def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str =
     dx = F.col("lc.x") - ratio * (F.cos(angle) * F.col("qc.x") - F.sin(angle) * F.col("qc.y"))
     dy = F.col("lc.y") - ratio * (F.sin(angle) * F.col("qc.x") + F.cos(angle) * F.col("qc.y"))
     bins = F.array(*[F.struct(F.floor((F.col("turn") + o) / 4).alias("r"), F.col("ratio").alias("s"), F.floor(F.col("dx") / BIN + h).alias("u"), F.floor(F.col("dy") / BIN + v).alias("w"), F.lit(k).alias("o")) for k, (o, h, v) in enumerate([(o, h, v) for o in (0, 2) for h in (0.0, 0.5) for v in (0.0, 0.5)])])
-    votes = met.select("q", "i", "l", turn.alias("turn"), F.round(ratio, 3).alias("ratio"), dx.alias("dx"), dy.alias("dy")).select("q", "i", "l", F.explode(bins).alias("bin"))
+    # pairs of pictures with too few matches for a link are left before any vote is cast; a pair has at most corners times corners
+    match = F.struct("i", turn.alias("turn"), F.round(ratio, 3).alias("ratio"), dx.alias("dx"), dy.alias("dy"))
+    pairs = met.groupBy("q", "l").agg(F.collect_list(match).alias("all")).where(F.size(F.array_distinct(F.transform("all", lambda m: m["i"]))) >= LEAST_VOTES)
+    votes = pairs.select("q", "l", F.explode("all").alias("m")).select("q", "l", "m.*").select("q", "i", "l", F.explode(bins).alias("bin"))
     agreed = votes.groupBy("q", "l", "bin").agg(F.count_distinct("i").alias("v")).where(F.col("v") >= LEAST_VOTES).groupBy("q", "l").agg(F.max("v").alias("v"))
     best = agreed.groupBy("q").agg(F.count(F.lit(1)).alias("n_links"), F.max_by("l", F.struct(F.col("v"), -F.col("l"))).alias("best_id"), F.max("v").alias("best_votes"))
     best = best.join(classes.select(F.col("__class").alias("best_id"), F.col("members").alias("best_members")), "best_id", "left")
