@@ -2,8 +2,9 @@
 
 Corners are local maxima of the Harris response on a few scales. Around each, the intensity centroid gives an
 orientation, and 128 tests between points of a pattern turned by it give a binary descriptor that brightness, contrast and
-quarter turns leave alone. Descriptors meet in Hamming tables, one for each 42 bits: any two that
-differ in at most two bits agree in some table; those that agree anywhere are compared in full. Each match says how one picture would lie
+quarter turns leave alone. Descriptors meet in Hamming tables, one for each 32 bits: any two that
+differ in at most three bits agree in some table; those that agree anywhere are compared in full where they meet, before a pair is
+written anywhere. Each match says how one picture would lie
 in the other, and pictures are linked if enough matches agree on turn, scale and shift (votes in overlapping bins).
 
 Scale: pictures with equal pixels are one picture, by digest, before any join. A table entry that more than ``HOT`` pictures'
@@ -31,7 +32,7 @@ from .common import keep
 
 #: Corners of a picture, the strongest first; scales of its pyramid; half a patch.
 CORNERS, SCALES, RADIUS = 40, (1.0, 0.6), 9
-TURNS, TESTS = 32, 128
+TURNS, TESTS, TABLES = 32, 128, 4
 #: Bits that a match may differ in; matches that must agree; library corners that share a table entry before it is split.
 MOST_BITS, LEAST_VOTES, HOT = 14, 5, 1000
 #: Common entries that are broadcast; more are joined by a shuffle.
@@ -225,11 +226,12 @@ def described(pictures: DataFrame, key: str, image: str) -> DataFrame:
 
 
 def entries(pictures: DataFrame, name: str, near: bool) -> DataFrame:
-    """One row for each corner and table: picture, place ``i``, table entry ``k`` and, if ``near``, the entry with that of the nearest neighbour's ``k2``. The descriptors stay behind."""
-    words = lambda a, b: [F.shiftrightunsigned(a, 22), F.shiftleft(F.col(a).bitwiseAND((1 << 22) - 1), 20).bitwiseOR(F.shiftrightunsigned(b, 44)), F.shiftrightunsigned(b, 2).bitwiseAND((1 << 42) - 1)]
-    table = [F.struct((w + F.lit(t << 42)).alias("k"), *([F.xxhash64(F.lit(t), w, n).alias("k2")] if near else [])) for t, (w, n) in enumerate(zip(words("c.a", "c.b"), words("c.near_a", "c.near_b")))]
+    """One row for each corner and table: picture, place ``i``, table entry ``k`` and, if ``near``, the entry with that of the nearest neighbour's ``k2``, beside the descriptor."""
+    words = lambda a, b: [F.shiftrightunsigned(a, 32), F.col(a).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(b, 32), F.col(b).bitwiseAND(0xFFFFFFFF)]
+    table = [F.struct((w + F.lit(t << 32)).alias("k"), *([F.xxhash64(F.lit(t), w, n).alias("k2")] if near else [])) for t, (w, n) in enumerate(zip(words("c.a", "c.b"), words("c.near_a", "c.near_b")))]
     rows = pictures.select(F.col("__id").alias(name), F.posexplode("corners").alias(f"i_{name}", "c"))
-    return rows.select(name, f"i_{name}", F.explode(F.array(*table)).alias("e")).select(name, f"i_{name}", "e.*")
+    bits = [F.col("c.a").alias(f"a_{name}"), F.col("c.b").alias(f"b_{name}")]
+    return rows.select(name, f"i_{name}", *bits, F.explode(F.array(*table)).alias("e")).select(name, f"i_{name}", f"a_{name}", f"b_{name}", "e.*")
 
 
 def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
@@ -245,12 +247,12 @@ def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str =
         hot = F.broadcast(hot) if common <= MOST_BROADCAST else hot
         split = lambda df: df.join(hot.withColumn("hot", F.lit(True)), "k", "left").withColumn("k2", F.when(F.col("hot"), F.col("k2")).otherwise(F.lit(0))).drop("hot")
         of, by = split(of), split(by)
-    met = by.join(of, ["k", "k2"] if common else ["k"]).select("q", "i_q", "l", "i_l").distinct()
+    differ = F.bit_count(F.col("a_q").bitwiseXOR(F.col("a_l"))) + F.bit_count(F.col("b_q").bitwiseXOR(F.col("b_l")))
+    same = [by[c] == of[c] for c in (["k", "k2"] if common else ["k"])]
+    met = by.join(of, [*same, differ <= MOST_BITS]).select("q", "i_q", "l", "i_l").distinct()
     corner = lambda i: F.get("corners", F.col(i))
     met = met.join(asked.select(F.col("__id").alias("q"), "corners"), "q").select("q", F.col("i_q").alias("i"), "l", "i_l", corner("i_q").alias("qc"))
     met = met.join(firsts.select(F.col("__id").alias("l"), "corners"), "l").select("q", "i", "l", "qc", corner("i_l").alias("lc"))
-    differ = F.bit_count(F.col("qc.a").bitwiseXOR(F.col("lc.a"))) + F.bit_count(F.col("qc.b").bitwiseXOR(F.col("lc.b")))
-    met = met.where(differ <= MOST_BITS)
     turn = F.pmod(F.col("lc.turn") - F.col("qc.turn"), F.lit(TURNS))
     scales = F.array(*map(F.lit, SCALES))
     ratio = F.get(scales, F.col("qc.scale")) / F.get(scales, F.col("lc.scale"))
@@ -271,13 +273,13 @@ def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str =
 
 
 def painted(vectors: np.ndarray) -> np.ndarray:
-    """A mosaic of 24 x 24 cells of four pixels for each vector; only very near vectors give near pictures."""
-    side = 24
-    at, n = np.arange(side * side), vectors.shape[1]
-    a, b = (at * 7 + at // n * 3) % n, (at * 5 + at // side * 11 + 3) % n
-    cells = 128 + 90 * np.sin(60 * (vectors[:, a] + vectors[:, b]) + at)
-    cells = cells.reshape(-1, side, side)
-    return np.clip(np.repeat(np.repeat(cells, 4, axis=1), 4, axis=2), 0, 255)
+    """A mosaic of 12 x 12 cells of eight pixels for each vector; near vectors give near pictures."""
+    i, j = np.divmod(np.arange(144), 12)
+    n = vectors.shape[1]
+    a, b = (i * 12 + j) % n, (i * 5 + j * 7 + 3) % n
+    cells = vectors[:, a] + np.where(np.arange(144) >= n, 4.0, 0.0) * vectors[:, a] * vectors[:, b]
+    cells = 128 + 400 * cells.reshape(-1, 12, 12)
+    return np.clip(np.repeat(np.repeat(cells, 8, axis=1), 8, axis=2), 0, 255)
 
 
 def edited(pictures: np.ndarray) -> np.ndarray:

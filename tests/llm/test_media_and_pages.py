@@ -109,3 +109,22 @@ def test_png(spark):
         chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
         raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 20, 24, 8, 0, 0, 0, 0)) + chunk(b"IDAT", data) + chunk(b"IEND", b"")
         assert (pictures.grey(raw) == a).all()
+
+
+def test_near_vectors_give_near_pictures():
+    r = np.random.default_rng(7)
+    v = r.normal(0, 0.13, (20, 64))
+    near, far = pictures.painted(v + r.normal(0, 0.01, v.shape)), pictures.painted(r.normal(0, 0.13, v.shape))
+    apart = lambda a, b: np.abs(a - b).mean()
+    assert apart(pictures.painted(v), near) < 0.3 * apart(pictures.painted(v), far)
+
+
+def test_corners_meet_if_three_bits_differ(spark):
+    kind = "__id long, corners " + pictures.CORNER
+    a, b = 0x123456789ABCDEF, 0x0FEDCBA987654321
+    one = lambda a, b: (1, [(0.0, 0.0, 0, 0, a, b, 0, 0)])
+    asked = pictures.entries(spark.createDataFrame([one(a, b)], kind), "q", False)
+    for bits in ((0, 31, 32), (5, 40, 70), (33, 65, 97)):
+        x = sum(1 << i for i in bits)
+        other = spark.createDataFrame([one(a ^ (x & (1 << 64) - 1), b ^ (x >> 64))], kind)
+        assert asked.join(pictures.entries(other, "l", False), "k").count() >= 1
