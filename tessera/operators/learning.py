@@ -158,15 +158,46 @@ def estimator(kind: str, **options):
     return table[kind](**options)
 
 
-def nearest(queries: DataFrame, library: DataFrame, key: str, vector: str, k: int, tables: int = 8, bits: int = 8, seed: int = 1) -> DataFrame:
-    """The k nearest rows by angle among those that share a random-hyperplane bucket; each bucket is a join key."""
-    import numpy as np
+def nearest(queries: DataFrame, library: DataFrame, key: str, vector: str, k: int, block: int = 2048) -> DataFrame:
+    """The k other rows with the largest dot product (the least angle between unit vectors), exactly; of equals the larger key.
 
-    size = len(library.select(vector).first()[0])
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, size))
-    code = lambda t: sum(((F.aggregate(F.zip_with(vector, F.array(*map(F.lit, p.tolist())), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) > 0).cast("int") * (1 << i) for i, p in enumerate(planes[t])), F.lit(0))
-    dealt = lambda df, n: df.select(F.col(key).alias(n), F.col(vector).alias(f"v_{n}"), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), code(t).alias("c")) for t in range(tables)])).alias("e")).select(n, f"v_{n}", "e.t", "e.c")
-    dot = F.aggregate(F.zip_with("v_q", "v_l", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = dealt(queries, "q").join(dealt(library, "l"), ["t", "c"]).where("q <> l").select("q", "l", dot.alias("s")).distinct()
-    best = pairs.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "l")), asc=False), 1, k).alias("b"))
-    return best.select("q", F.posexplode("b").alias("rank", "b")).select("q", "rank", F.col("b.l").alias("l"), F.col("b.s").alias("similarity"))
+    Both sides are dealt into blocks of about ``block`` rows by hash; each pair of blocks is one matrix product, and the best of
+    all blocks are merged. Rows with a null key, or a null or NaN in the vector, and pairs of unlike lengths, have no product.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = lambda df: df.select(F.col(key), F.col(vector).cast("array<double>").alias(vector)).where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))).distinct()
+    asked, known = rows(queries), rows(library)
+    across, down = (max(1, -(-df.count() // block)) for df in (asked, known))
+    place = lambda n: F.pmod(F.xxhash64(key, vector), F.lit(n))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select("*", place(across).alias("__i")).select("*", copies(down).alias("__j"))
+    known = known.select("*", place(down).alias("__j")).select("*", copies(across).alias("__i"))
+    kind = asked.schema[key].dataType.simpleString()
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, l, s = [], [], []
+        by_length = lambda t: {n: np.flatnonzero(size == n) for size in [np.array(t.column(vector).combine_chunks().value_lengths())] for n in np.unique(size)}
+        there = by_length(right)
+        for n, own in by_length(left).items():
+            if n not in there:
+                continue
+            parts = [(t.column(key).take(pa.array(at)), np.array(t.column(vector).take(pa.array(at)).combine_chunks().flatten()).reshape(len(at), n)) for t, at in ((left, own), (right, there[n]))]
+            (qk, a), (lk, b) = ((np.array(keys.to_pylist()), m) for keys, m in parts)
+            near = a @ b.T
+            near[qk[:, None] == lk] = -np.inf
+            least = np.partition(near, max(0, len(lk) - k), axis=1)[:, max(0, len(lk) - k)]
+            # a little below the k-th, so that rounding by the product's layout decides nothing
+            r, c = np.nonzero((near >= least[:, None] - 1e-9 * (1 + np.abs(least[:, None]))) & (near > -np.inf))
+            exact = (a[r] * b[c]).sum(axis=1)
+            order = np.lexsort((lk[c], exact, r))[::-1]
+            r, c, exact = r[order], c[order], exact[order]
+            top = np.arange(len(r)) - np.searchsorted(-r, -r) < k
+            q.append(qk[r[top]]), l.append(lk[c[top]]), s.append(exact[top])
+        of = lambda x, t: pa.array(np.concatenate(x).tolist() if x else [], type=t)
+        return pa.table({"q": of(q, left.schema.field(key).type), "l": of(l, right.schema.field(key).type), "s": of(s, pa.float64())})
+
+    pairs = asked.groupBy("__i", "__j").cogroup(known.groupBy("__i", "__j")).applyInArrow(best, f"q {kind}, l {kind}, s double")
+    best_of_all = pairs.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "l")), asc=False), 1, k).alias("b"))
+    return best_of_all.select("q", F.posexplode("b").alias("rank", "b")).select("q", "rank", F.col("b.l").alias("l"), F.col("b.s").alias("similarity"))

@@ -189,3 +189,20 @@ def test_variogram_fit():
     gamma = 0.2 + 1.3 * np.where(h < 120, 1.5 * h / 120 - 0.5 * (h / 120) ** 3, 1)
     nugget, sill, reach = aggregates.fit_variogram([(float(x), float(y), 50) for x, y in zip(h, gamma)])
     assert nugget == pytest.approx(0.2, abs=0.05) and sill == pytest.approx(1.3, abs=0.05) and reach == pytest.approx(120, abs=8)
+
+
+def test_nearest_rows_are_exact(spark):
+    from tessera.operators import learning
+
+    v = np.random.default_rng(4).normal(size=(300, 16))
+    v[7] = v[250]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0] * 3)], "id long, v array<double>")
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    for block in (40, 2048):
+        got = {}
+        for r in learning.nearest(df.where("id % 10 = 0"), df, "id", "v", 3, block).orderBy("q", "rank").collect():
+            got.setdefault(r["q"], []).append(r["similarity"])
+        assert sorted(got) == list(range(0, 300, 10))
+        assert all(np.allclose(got[i], np.sort(s[i])[::-1][:3]) for i in got)
