@@ -206,3 +206,11 @@ def test_nearest_rows_are_exact(spark):
             got.setdefault(r["q"], []).append(r["similarity"])
         assert sorted(got) == list(range(0, 300, 10))
         assert all(np.allclose(got[i], np.sort(s[i])[::-1][:3]) for i in got)
+
+
+def test_point_queries_without_sql_take_all_customers(spark):
+    from tessera.queries import extras
+
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert n > 601 and extras.normal_scores(spark, sf).count() == n == extras.cluster_by_density(spark, sf).count()
