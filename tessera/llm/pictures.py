@@ -8,8 +8,8 @@ written anywhere. Each match says how one picture would lie
 in the other, and pictures are linked if enough matches agree on turn, scale and shift (votes in overlapping bins).
 
 Scale: pictures with equal pixels are one picture, by digest, before any join. A table entry that more than ``HOT`` pictures'
-corners share is joined on the entry together with that of the corner's nearest neighbour, so a common pattern is
-told apart by what stands next to it and never pairs off with itself as a whole; no corner is dropped.
+corners share is dealt into parts: each of the library's corners goes to one, each of the queries' to all, so every pair
+still meets once.
 
 Reads PGM, PPM and PNG (8 bits, not interlaced). Defined cases: a null, empty or unreadable picture, or one too small for
 a patch, has no corners and no links; repeated rows belong to one picture; an empty table gives an empty result.
@@ -184,16 +184,7 @@ def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
     return {"picture": picture[order], "x": x[order], "y": y[order], "scale": scale[order], "turn": turn[order], "bits": bits[order]}
 
 
-CORNER = "array<struct<x:double,y:double,scale:int,turn:int,a:bigint,b:bigint,near_a:bigint,near_b:bigint>>"
-
-
-def nearest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each point the place of its nearest other one, itself if it is alone."""
-    if len(x) < 2:
-        return np.zeros(len(x), dtype=np.int64)
-    d = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
-    d[d == 0] = np.inf
-    return d.argmin(axis=1)
+CORNER = "array<struct<x:double,y:double,scale:int,turn:int,a:bigint,b:bigint>>"
 
 
 def described(pictures: DataFrame, key: str, image: str) -> DataFrame:
@@ -216,22 +207,19 @@ def described(pictures: DataFrame, key: str, image: str) -> DataFrame:
                     a = c["bits"].astype(np.uint64).view(np.int64)
                     for k, i in enumerate(members):
                         own = np.flatnonzero(c["picture"] == k)
-                        near = own[nearest(c["x"][own], c["y"][own])]
-                        lists[i] = [dict(zip(("x", "y", "scale", "turn", "a", "b", "near_a", "near_b"), v)) for v in zip(c["x"][own].tolist(), c["y"][own].tolist(), c["scale"][own].tolist(), c["turn"][own].tolist(), a[own, 0].tolist(), a[own, 1].tolist(), a[near, 0].tolist(), a[near, 1].tolist())]
+                        lists[i] = [dict(zip(("x", "y", "scale", "turn", "a", "b"), v)) for v in zip(c["x"][own].tolist(), c["y"][own].tolist(), c["scale"][own].tolist(), c["turn"][own].tolist(), a[own, 0].tolist(), a[own, 1].tolist())]
                 digest = [hashlib.sha256(r).hexdigest() if g is None else hashlib.sha256(repr(g.shape).encode() + g.tobytes()).hexdigest() for r, g in zip([r or b"" for r in raw], grown)]
-                kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("scale", pa.int32()), ("turn", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("near_a", pa.int64()), ("near_b", pa.int64())]))
+                kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("scale", pa.int32()), ("turn", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, type=pa.string()), pa.array(lists, type=kind)], names=["__id", "digest", "corners"])
 
     return source.mapInArrow(run, f"__id {source.schema[0].dataType.simpleString()}, digest string, corners {CORNER}")
 
 
-def entries(pictures: DataFrame, name: str, near: bool) -> DataFrame:
-    """One row for each corner and table: picture, place ``i``, table entry ``k`` and, if ``near``, the entry with that of the nearest neighbour's ``k2``, beside the descriptor."""
-    words = lambda a, b: [F.shiftrightunsigned(a, 32), F.col(a).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(b, 32), F.col(b).bitwiseAND(0xFFFFFFFF)]
-    table = [F.struct((w + F.lit(t << 32)).alias("k"), *([F.xxhash64(F.lit(t), w, n).alias("k2")] if near else [])) for t, (w, n) in enumerate(zip(words("c.a", "c.b"), words("c.near_a", "c.near_b")))]
+def entries(pictures: DataFrame, name: str) -> DataFrame:
+    """One row for each corner and table: picture, place ``i``, the descriptor and the table entry ``k``."""
+    words = [F.shiftrightunsigned("c.a", 32), F.col("c.a").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("c.b", 32), F.col("c.b").bitwiseAND(0xFFFFFFFF)]
     rows = pictures.select(F.col("__id").alias(name), F.posexplode("corners").alias(f"i_{name}", "c"))
-    bits = [F.col("c.a").alias(f"a_{name}"), F.col("c.b").alias(f"b_{name}")]
-    return rows.select(name, f"i_{name}", *bits, F.explode(F.array(*table)).alias("e")).select(name, f"i_{name}", f"a_{name}", f"b_{name}", "e.*")
+    return rows.select(name, f"i_{name}", F.col("c.a").alias(f"a_{name}"), F.col("c.b").alias(f"b_{name}"), F.explode(F.array(*[w + F.lit(t << 32) for t, w in enumerate(words)])).alias("k"))
 
 
 def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
@@ -240,15 +228,16 @@ def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str =
     asked = keep(described(queries, key, image), "queries")
     classes = shown.groupBy("digest").agg(F.min("__id").alias("__class"), F.count(F.lit(1)).alias("members"))
     firsts = keep(shown.join(classes.select(F.col("__class").alias("__id"), "members"), "__id").dropDuplicates(["__id"]), "firsts")
-    hot = keep(entries(firsts, "l", False).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("k"), "common-entries")
+    of, by = entries(firsts, "l"), entries(asked, "q")
+    hot = keep(of.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("parts")).where("parts > 1"), "common-entries")
     common = hot.count()
-    of, by = entries(firsts, "l", common > 0), entries(asked, "q", common > 0)
     if common:
         hot = F.broadcast(hot) if common <= MOST_BROADCAST else hot
-        split = lambda df: df.join(hot.withColumn("hot", F.lit(True)), "k", "left").withColumn("k2", F.when(F.col("hot"), F.col("k2")).otherwise(F.lit(0))).drop("hot")
-        of, by = split(of), split(by)
+        parts = F.coalesce("parts", F.lit(1))
+        of = of.join(hot, "k", "left").withColumn("part", F.pmod(F.xxhash64("l", "i_l"), parts)).drop("parts")
+        by = by.join(hot, "k", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     differ = F.bit_count(F.col("a_q").bitwiseXOR(F.col("a_l"))) + F.bit_count(F.col("b_q").bitwiseXOR(F.col("b_l")))
-    same = [by[c] == of[c] for c in (["k", "k2"] if common else ["k"])]
+    same = [by[c] == of[c] for c in (["k", "part"] if common else ["k"])]
     met = by.join(of, [*same, differ <= MOST_BITS]).select("q", "i_q", "l", "i_l").distinct()
     corner = lambda i: F.get("corners", F.col(i))
     met = met.join(asked.select(F.col("__id").alias("q"), "corners"), "q").select("q", F.col("i_q").alias("i"), "l", "i_l", corner("i_q").alias("qc"))

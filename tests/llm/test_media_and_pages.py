@@ -122,9 +122,22 @@ def test_near_vectors_give_near_pictures():
 def test_corners_meet_if_three_bits_differ(spark):
     kind = "__id long, corners " + pictures.CORNER
     a, b = 0x123456789ABCDEF, 0x0FEDCBA987654321
-    one = lambda a, b: (1, [(0.0, 0.0, 0, 0, a, b, 0, 0)])
-    asked = pictures.entries(spark.createDataFrame([one(a, b)], kind), "q", False)
+    one = lambda a, b: (1, [(0.0, 0.0, 0, 0, a, b)])
+    asked = pictures.entries(spark.createDataFrame([one(a, b)], kind), "q")
     for bits in ((0, 31, 32), (5, 40, 70), (33, 65, 97)):
         x = sum(1 << i for i in bits)
         other = spark.createDataFrame([one(a ^ (x & (1 << 64) - 1), b ^ (x >> 64))], kind)
-        assert asked.join(pictures.entries(other, "l", False), "k").count() >= 1
+        assert asked.join(pictures.entries(other, "l"), "k").count() >= 1
+
+
+def test_splitting_common_entries_loses_nothing(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    base = [pictures.painted(r.normal(0, 0.13, (1, 64)))[0] for _ in range(6)]
+    for b in base[1:]:
+        b[:, :64] = base[0][:, :64]
+    schema = "id long, image binary"
+    library = spark.createDataFrame([(i, pictures.pgm(b)) for i, b in enumerate(base)], schema)
+    asked = spark.createDataFrame([(i, pictures.pgm(pictures.edited(b[None])[0])) for i, b in enumerate(base)], schema)
+    whole = sorted(map(tuple, pictures.search(asked, library).collect()))
+    monkeypatch.setattr(pictures, "HOT", 2)
+    assert sorted(map(tuple, pictures.search(asked, library).collect())) == whole and sum(x[2] for x in whole) >= 6
