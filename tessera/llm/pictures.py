@@ -7,6 +7,8 @@ differ in at most three bits agree in some table; those that agree anywhere are
 written anywhere. Each match says how one picture would lie
 in the other, and pictures are linked if enough matches agree on turn, scale and shift (votes in overlapping bins).
 
+Corners are the strongest of each tile, so a large picture has more, and a small crop of it finds its own among them.
+
 Scale: pictures with equal pixels are one picture, by digest, before any join. A table entry that more than ``HOT`` pictures'
 corners share is dealt into parts: each of the library's corners goes to one, each of the queries' to all, so every pair
 still meets once.
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-#: Corners of a picture, the strongest first; scales of its pyramid; half a patch.
-CORNERS, SCALES, RADIUS = 40, (1.0, 0.6), 9
+#: Corners of a tile of a picture, the strongest first; scales of its pyramid; half a patch; side of a tile, in pixels.
+CORNERS, SCALES, RADIUS, TILE = 40, (1.0, 0.6), 9, 96
 TURNS, TESTS, TABLES = 32, 128, 4
 #: Bits that a match may differ in; matches that must agree; library corners that share a table entry before it is split.
 MOST_BITS, LEAST_VOTES, HOT = 14, 5, 1000
@@ -140,6 +142,14 @@ def resized(a: np.ndarray, scale: float) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
+def strongest(picture: np.ndarray, x: np.ndarray, y: np.ndarray, strength: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Places of the strongest corners of each tile, so that their number grows with a picture's area; by picture and tile."""
+    down, across = (n // TILE + 1 for n in shape[1:])
+    tile = (picture * down + y.astype(np.int64) // TILE) * across + x.astype(np.int64) // TILE
+    order = np.lexsort((x, y, -strength, tile))
+    return order[np.arange(len(order)) - np.searchsorted(tile[order], tile[order]) < CORNERS]
+
+
 def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
     """Corners of equally large pictures: picture, x, y (in its own pixels), scale, turn and the descriptor's bits."""
     found: list[list[np.ndarray]] = []
@@ -163,8 +173,7 @@ def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
                     best &= (inner > other) if (dy, dx) < (0, 0) else (inner >= other)
         picture, y, x = np.nonzero(best)
         strength = inner[picture, y, x]
-        order = np.lexsort((x, y, -strength, picture))
-        order = order[np.arange(len(order)) - np.searchsorted(picture[order], picture[order]) < CORNERS]
+        order = strongest(picture, (x + edge + 0.5) / scale, (y + edge + 0.5) / scale, strength, stack.shape)
         picture, y, x, strength = picture[order], y[order] + edge, x[order] + edge, strength[order]
         smooth = box(a, 1)
         disc = smooth[picture[:, None], y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
@@ -178,9 +187,7 @@ def corners(stack: np.ndarray) -> dict[str, np.ndarray]:
     if not found:
         return {k: np.zeros((0, 2) if k == "bits" else 0) for k in ("picture", "x", "y", "scale", "turn", "bits")}
     picture, x, y, scale, turn, bits, strength = (np.concatenate(c) for c in zip(*found))
-    order = np.lexsort((x, y, -strength, picture))
-    rank = np.arange(len(order)) - np.searchsorted(picture[order], picture[order])
-    order = order[rank < CORNERS]
+    order = strongest(picture, x, y, strength, stack.shape)
     return {"picture": picture[order], "x": x[order], "y": y[order], "scale": scale[order], "turn": turn[order], "bits": bits[order]}
 
 
@@ -202,7 +209,9 @@ def described(pictures: DataFrame, key: str, image: str) -> DataFrame:
                     if g is not None and min(g.shape) > 2 * RADIUS + 2:
                         shapes.setdefault(g.shape, []).append(i)
                 lists: list[list] = [[] for _ in raw]
-                for members in shapes.values():
+                # large pictures are worked on a few at a time
+                groups = [m[at : at + n] for (h, w), m in shapes.items() for n in [max(1, 64 * TILE * TILE // (h * w))] for at in range(0, len(m), n)]
+                for members in groups:
                     c = corners(np.stack([grown[i] for i in members]))
                     a = c["bits"].astype(np.uint64).view(np.int64)
                     for k, i in enumerate(members):

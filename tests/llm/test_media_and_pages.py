@@ -141,3 +141,12 @@ def test_splitting_common_entries_loses_nothing(spark, monkeypatch):
     whole = sorted(map(tuple, pictures.search(asked, library).collect()))
     monkeypatch.setattr(pictures, "HOT", 2)
     assert sorted(map(tuple, pictures.search(asked, library).collect())) == whole and sum(x[2] for x in whole) >= 6
+
+
+def test_small_crops_of_large_pictures_are_found(spark):
+    r = np.random.default_rng(8)
+    base = [np.kron(r.uniform(20, 235, (64, 64)), np.ones((8, 8))) for _ in range(3)]
+    schema = "id long, image binary"
+    library = spark.createDataFrame([(i, pictures.pgm(b)) for i, b in enumerate(base)], schema)
+    asked = spark.createDataFrame([(i, pictures.pgm(b[170:330, 150:310])) for i, b in enumerate(base)], schema)
+    assert [x["best_id"] for x in sorted(pictures.search(asked, library).collect())] == [0, 1, 2]
