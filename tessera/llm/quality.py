@@ -1,11 +1,12 @@
 """Quality rules: counts of words, symbols and repeats, and zstandard compression bands.
 
 One pass without a shuffle: each Arrow batch is cut into blocks of texts, counted with numpy over the
-block's bytes, and each text is compressed as a whole and in fixed chunks.
+block's bytes, and each text is compressed as a whole and in fixed chunks that cover
+all of its bytes.
 
 Defined cases: a null or empty text has no words, so every count is 0 and it fails; rows that repeat are
-judged alike; columns besides the two that are named are not read. A text without chunks that are
-full is judged by its whole ratio alone.
+judged alike; columns besides the two that are named are not read. A text no longer than a chunk
+is judged by its whole ratio alone.
 """
 
 from __future__ import annotations
@@ -57,14 +58,14 @@ class Bands:
 
 
 def ratios(raw: bytes, bands: Bands, compressor) -> tuple[float, int, int]:
-    """Whole ratio, number of full chunks and how many of them lie outside the chunk band."""
+    """Whole ratio, number of chunks and how many of them lie outside the chunk band. The last chunk overlaps the one before unless the length divides, so every byte is judged."""
     if not raw:
         return 0.0, 0, 0
     whole, size = len(raw) / len(compressor.compress(raw)), bands.chunk_bytes
-    n = len(raw) // size if len(raw) > size else 0
+    starts = [*range(0, len(raw) - size, size), len(raw) - size] if len(raw) > size else []
     low, high = bands.chunk
-    bad = sum(not low <= size / len(compressor.compress(raw[i * size : (i + 1) * size])) <= high for i in range(n))
-    return whole, n, bad
+    bad = sum(not low <= size / len(compressor.compress(raw[i : i + size])) <= high for i in starts)
+    return whole, len(starts), bad
 
 
 def verdict(n: int, whole: float, chunks: int, bad: int, bands: Bands) -> bool:
