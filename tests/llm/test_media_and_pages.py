@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -45,19 +46,82 @@ def test_pages_query(spark, sf):
         assert r["url"] == pages[r["page_id"]]["url"] and r["text"] == plain_text(pages[r["page_id"]]["html"]) and r["n_chars"] == len(r["text"])
 
 
-def test_template_texts_of_a_host_are_left_out(spark):
-    page = "<body><div class=top><p>Welcome to our site</p></div><div class=x><p>Story {} about {}.</p><p>Said by many.</p></div><div><p>All rights are ours</p></div></body>"
-    rows = [(i, f"https://User@One.example.com:80/{i}", page.format(i, i * 7)) for i in range(6)]
-    rows += [(10, "http://two.example.com/", page.format(1, 2)), (11, None, None), (12, "", "<p>x</p>"), (12, "", "<p>x</p>")]
+NEUTRAL = "<body><div class=a1><p>Welcome to our site</p></div><div class=b1><a href=/>Home {2}</a><a href=/x>More {2}</a></div><div class=c1><p>Story {0} about {1}.</p><p>Said by many.</p>{3}</div><div class=a1><p>All rights are ours</p></div></body>"
+
+
+def neutral_pages():
+    """No element or name says what is what; two pages share a passage of two lines, and one of each three has a box."""
+    passage, box = "<p>Shared one</p><p>Shared two</p>", "<div class=d1><p>Join us</p><p>every week</p></div>"
+    rows = [(i, f"https://User@One.example.com:80/{i}", NEUTRAL.format(i, i * 7, i, "<p>Extra.</p>" * (i % 4) + passage * (i in (1, 2)) + box * (i % 3 < 2))) for i in range(12)]
+    return [*rows, (100, "http://two.example.com/", NEUTRAL.format(1, 2, 3, "")), (11, None, None), (12, "", "<p>x</p>"), (12, "", "<p>x</p>")]
+
+
+def plain_template(pages):
+    """Texts of nested valid classes of one host, from occurrence vectors as they are."""
+    vectors, parents, texts = {}, {}, set()
+    for i, page in enumerate(pages):
+        seen = {1: templates.Token(1, 1, False)} | templates.page_tokens(page, 1)
+        for t, x in seen.items():
+            vectors.setdefault(t, [0] * len(pages))[i] = x.count
+            parents[t] = x.parent
+            texts |= {t} if x.is_text else set()
+    classes = {}
+    for t, v in vectors.items():
+        classes.setdefault(tuple(v), set()).add(t)
+    valid = {t for v, c in classes.items() if len(c) > 1 and sum(map(bool, v)) > 1 for t in c}
+    common = lambda t: sum(map(bool, vectors[t])) >= 0.5 * len(pages)
+    nested = lambda t: set(vectors[t]) == {1} or parents[t] in valid - texts or classes[tuple(vectors[t])] - texts
+    return {t for t in texts & valid if common(t) and nested(t)}
+
+
+def test_the_template_decides_pages_without_marks(spark):
+    rows = neutral_pages()
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
-    found = templates.template(df)
-    assert found.where("is_text and pages = 6").count() == 3
-    # the paragraph that occurs twice a page is the one token of its class, so what it holds has no valid class around it
-    assert found.where("is_text and pages = 6 and parent_class is null").count() == 1
+    one = [h for _, u, h in rows if u and "One" in u]
+    host = templates.xxh64_intdigest("one.example.com")
+    own = templates.tokens(df, "page_id", "url", "html")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    found = {r["token"] for r in templates.template_texts(templates.template(own)).where(f"host = {signed(host)}").collect()}
+    texts = {b.text: b for page in one for b in templates.parse(page)[0]}
+    by_plain = {t for t in texts if templates.text_token(1, texts[t]) in plain_template(one)}
+    assert {t for t in texts if signed(templates.text_token(host, texts[t])) in found} == by_plain == {"Welcome to our site", "All rights are ours", "Said by many.", "Join us", "every week"}
     got = {r["page_id"]: r["text"] for r in templates.extract(df).collect()}
-    assert got[3] == "Story 3 about 21."
-    assert got[10].startswith("Welcome to our site\nStory 1") and got[11] == ""
-    assert templates.extract(df.where("false")).collect() == [] and templates.extract(df).count() == 10
+    assert got[3] == "Story 3 about 21.\nExtra.\nExtra.\nExtra." and got[4] == "Story 4 about 28."
+    assert got[1] == "Story 1 about 7.\nExtra.\nShared one\nShared two"
+    assert templates.main_text(one[4], host).startswith("Welcome to our site\nStory 4")  # without the template
+    assert got[100].startswith("Welcome to our site\nStory 1") and got[11] == "" and got[12] == "x"
+    assert templates.extract(df.where("false")).collect() == [] and templates.extract(df).count() == len(rows)
+
+
+def test_boilerplate_inside_articles_goes_and_copies_stay(spark):
+    page = "<article><h1>T {0}</h1><p>Words {0}.</p>{1}<div><p>Share this with friends</p></div></article><p>outside {0}</p>"
+    rows = [(i, "http://a.example/", page.format(i, "<p>more</p>" * (i % 3))) for i in range(8)]
+    rows += [(50 + i, "http://copies.example/", page.format(1, "")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T 3\nWords 3." and got[4] == "T 4\nWords 4.\nmore"
+    assert got[50] == "T 1\nWords 1.\nShare this with friends"
+
+
+def test_an_article_that_holds_little_is_no_main_text(spark):
+    page = "<div class=x><article><p>Teaser {0}</p></article></div><div class=y><p>A long story number {0} that goes on and on for a while, by itself</p></div>"
+    rows = [(i, "http://a.example/", page.format(i)) for i in range(4)]
+    got = templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("A long story" in r["text"] for r in got)
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<!", "<xmp>", "<div></x>", '<a x="', "<b>x<hr>", "<p><h1>", "<li><b>", '<a <a x=">"'])
+def test_reading_takes_time_in_proportion(bit):
+    took = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        templates.parse(bit * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_names_mark_as_a_whole():
+    page = '<article><p title="the hidden cost">a</p><p class="share-price">b</p><h2 id="form-and-function">c</h2><div class="share-buttons">d</div><p hidden>e</p><p aria-hidden=true>f</p></article>'
+    assert templates.main_text(page, 1) == "a\nb\nc"
 
 
 def test_copies_are_found(spark, sf):
