@@ -95,32 +95,83 @@ def plain_components(ids, fps, radius=2):
     return [least.get(find(i)) for i in range(len(ids))]
 
 
-def test_masks_cover_every_pair_of_positions():
-    found = simhash.masks()
-    assert len(found) == 7
-    for i in range(64):
-        for j in range(64):
-            assert any(not m >> i & 1 and not m >> j & 1 for m in found)
+@pytest.mark.parametrize("radius", [2, 4, 6])
+def test_masks_cover_every_set_of_positions(radius):
+    import random
+
+    found = simhash.masks(radius)
+    assert len(found) == 2 ** (radius + 1) - 1 and all(m.bit_count() >= 31 for m in found)
+    r = random.Random(radius)
+    sets = [(i, j) for i in range(64) for j in range(64)] if radius == 2 else [r.sample(range(64), radius) for _ in range(3000)]
+    assert all(any(not any(m >> i & 1 for i in at) for m in found) for at in sets)
 
 
-def test_links_find_chains_and_large_groups(spark):
+@pytest.mark.parametrize(("bucket", "radius"), [(4096, 2), (4, 2), (4, 5)])
+def test_links_find_chains_and_large_groups(spark, monkeypatch, bucket, radius):
     import random
 
+    monkeypatch.setattr(simhash, "BUCKET", bucket)  # beyond, blocks are compared pair by pair
     r = random.Random(2)
     fps = set()
     for _ in range(40):
         at = r.getrandbits(64)
         for _ in range(r.randint(1, 12)):
             fps.add(at)
-            for _ in range(r.randint(1, 3)):
+            for _ in range(r.randint(1, radius + 1)):
                 at ^= 1 << r.randrange(64)
     around = r.getrandbits(64)
     fps |= {around ^ 1 << i for i in range(64)}  # one point near which 64 lie
     fps = sorted(fps)
-    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "__fp long")
-    root = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
-    want = plain_components([simhash.signed(f) for f in fps], fps)
-    assert [root.get(simhash.signed(f), simhash.signed(f)) for f in fps] == want
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([((signed(f), 0),) for f in fps], "__fp struct<f:long,c:long>")
+    like = simhash.Likeness(radius=radius)
+    root = {r["node"].f: r["root"].f for r in simhash.components(simhash.links(df, like)).collect()}
+    want = plain_components([signed(f) for f in fps], fps, radius)
+    assert [root.get(signed(f), signed(f)) for f in fps] == want
+
+
+def test_edges_of_large_hashes_do_not_overflow(spark):
+    edges = spark.range(1 << 20).select((F.col("id") + 1).alias("a"), F.lit(0).cast("long").alias("b"))
+    state = edges.crossJoin(spark.range(64)).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "id"))).first()
+    assert state[0] == 1 << 26
+    assert simhash.components(edges).agg(F.max("root")).first()[0] == 0
+
+
+def words_set_fingerprint(text):
+    from xxhash import xxh64_intdigest as xx
+
+    words = {xx(w, 42) for w in text.encode().lower().split()}
+    return sum(1 << k for k in range(64) if 2 * sum(w >> k & 1 for w in words) > len(words))
+
+
+def plain_near_copies(texts):
+    """For each id of ``texts`` the least id that is connected with it."""
+    ids = sorted(texts)
+    search, check = [words_set_fingerprint(texts[i]) for i in ids], [plain_fingerprint(texts[i], 5) for i in ids]
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x in range(len(ids)):
+        for y in range(x):
+            if (search[x] ^ search[y]).bit_count() <= 6 and (check[x] ^ check[y]).bit_count() <= simhash.CONFIRMED:
+                one, two = sorted((find(ids[x]), find(ids[y])))
+                root[two] = one
+    return {i: find(i) for i in ids}
+
+
+def test_near_copies_are_found_by_words_and_confirmed_by_shingles(spark, sf, documents):
+    texts = {i: t for i, t in documents.items() if t}
+    of = plain_near_copies(texts)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).where("text != ''").collect()) == sorted(set(of.values()))
+    # of the pairs with a five-word similarity of 0.8 or more
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := t.lower().split())}
+    pairs = [(a, b) for a in shingles for b in shingles if a < b and 10 * len(shingles[a] & shingles[b]) >= 8 * len(shingles[a] | shingles[b])]
+    assert len(pairs) > 5 and sum(of[a] == of[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
 def test_simhash(spark, sf, documents, awkward, empty):

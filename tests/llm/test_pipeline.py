@@ -2,7 +2,7 @@ import hashlib
 
 import corpus_pipeline
 from tessera.llm import common, mixing, pii, quality
-from test_documents import plain_components, plain_fingerprint, plain_spans
+from test_documents import plain_near_copies, plain_spans
 
 
 def staged(spark, sf):
@@ -20,9 +20,7 @@ def test_stages(spark, sf):
     judged = {r["doc_id"]: r["kept"] for r in quality.quality(docs).select("doc_id", "`__quality`.kept").collect()}
     rows = good.collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(i for i, k in judged.items() if k) and all(whole[r["doc_id"]] == r for r in rows)
-    ids = [r["doc_id"] for r in rows]
-    group = plain_components(ids, [plain_fingerprint(r["text"]) for r in rows])
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(group))
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(plain_near_copies({r["doc_id"]: r["text"] for r in rows}).values()))
     field = pii.default_field()
     for r in clean.collect():
         before = whole[r["doc_id"]]["text"]
