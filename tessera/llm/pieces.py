@@ -8,11 +8,11 @@ original bytes.
 BPE merges never cross from a non-space symbol to a following space symbol if no piece of the vocabulary has a space
 symbol after another symbol. Where the vocabulary has that property (it is checked), and the map is
 the identity, a text is encoded in segments of spaces and the symbols up to the next space; segments that recur are looked up
-in a bounded cache, which gives the library's ids exactly. Any other model or text goes to the library whole.
+in a bounded cache, which gives the library's ids exactly. Any other model or text goes to the library whole. Decoding
+is always the library's, of the ids.
 
-Defined cases: a null text is empty; an empty text has the begin and end ids alone and decodes to nothing; a text
-that the library decodes differently (for instance one with a literal space symbol) is decoded by the
-library itself; rows that repeat are encoded alike; columns besides the two named are not read.
+Defined cases: a null text is empty; an empty text has the begin and end ids alone and decodes to nothing; a literal space
+symbol decodes to a space; rows that repeat are encoded alike; columns besides the two named are not read.
 """
 
 from __future__ import annotations
@@ -185,8 +185,8 @@ class Encoder:
             return self.segments.findall(line)
         return line.split(" ")[1:]
 
-    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
-        """For each text all ids but begin and end, and the decoded text."""
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text all ids but begin and end."""
         cut = [self._segments(t) for t in texts]
         # a segment without its one leading space is what the library is given: it puts that space before it
         cut = [s if s is None or not s[0].startswith(" ") else [x[1:] for x in s] for s in cut]
@@ -199,16 +199,15 @@ class Encoder:
         self.cache.update(zip(missing, [array("I", ids).tobytes() for ids in self.lib.encode(missing, num_threads=1)] if missing else ()))
         look, out = self.cache.__getitem__, []
         for t, s in zip(texts, cut):
-            if s is None:
-                ids = self.lib.encode(t)
-                out.append((np.array(ids, dtype="<u4"), self.lib.decode(ids)))
-            else:  # byte fallback leaves nothing unknown, and there is no literal space symbol: decoding gives the text
-                out.append((np.frombuffer(b"".join(map(look, s)), dtype="<u4"), t))
+            out.append(np.array(self.lib.encode(t), dtype="<u4") if s is None else np.frombuffer(b"".join(map(look, s)), dtype="<u4"))
         return out
 
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
+    def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        return self.lib.decode([i.tolist() for i in ids], num_threads=1) if ids else []
+
     def spans(self, raw: bytes, ids: np.ndarray) -> np.ndarray:
         """Start and end byte in ``raw`` of every piece of ``ids`` (without begin and end)."""
         if self.norm.identity:
@@ -263,9 +262,10 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
             for i, j in blocks(texts, TOGETHER):
                 part = batch.slice(i, j - i)
                 out: dict[str, list] = {n: [] for n in ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "ids", "spans", "decoded")}
-                for raw, (ids, decoded) in zip(texts[i:j], e.encode_all([t.decode() for t in texts[i:j]])):
+                inner = e.encode_all([t.decode() for t in texts[i:j]])
+                whole = [np.concatenate(([e.bos], ids, [e.eos])).astype("<u4") for ids in inner]
+                for raw, ids, every, decoded in zip(texts[i:j], inner, whole, e.decode_all(whole)):
                     spans = e.spans(raw, ids)
-                    every = np.concatenate(([e.bos], ids, [e.eos])).astype("<u4")
                     out["n_tokens"].append(len(every))
                     out["ids_sha256"].append(hashlib.sha256(every.tobytes()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())

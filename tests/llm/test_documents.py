@@ -449,6 +449,49 @@ def test_pieces(spark, sf, documents, awkward, empty):
     assert pieces.encoded(awkward, model()).count() == 12 and pieces.encoded(empty, model()).collect() == []
 
 
+@pytest.fixture(scope="module")
+def normalising(tmp_path_factory):
+    """The model with the library's compiled NFKC map in place of its own normaliser, which has none."""
+    import sentencepiece
+
+    def message(number, value):
+        n, head = len(value), bytes([number << 3 | 2])
+        while n > 127:
+            head, n = head + bytes([n & 127 | 128]), n >> 7
+        return head + bytes([n]) + value
+
+    own = sentencepiece.SentencePieceProcessor(model_file=model()).serialized_model_proto()
+    spec = dict(pieces.fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    path = tmp_path_factory.mktemp("model") / "nfkc.model"
+    path.write_bytes(b"".join(message(k, spec if k == 3 else v) for k, v in pieces.fields(own)))
+    return str(path)
+
+
+FOLDED = ["Ａｂｃ ①② ﬁne", "  two   spaces\there ", "e\u0301te\u0301 ½ ㍿ x", "カ\u3099\u200bタ", "\u00a0", "plain text", "ﷺ and ™"]
+
+
+def test_pieces_through_the_character_map(spark, sf, documents, normalising):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=normalising)
+    df = spark.createDataFrame(list(enumerate(FOLDED + ODD)), "doc_id long, text string")
+    for r in pieces.encoded(df, normalising).collect():
+        text = (FOLDED + ODD)[r["doc_id"]]
+        raw, ids = text.encode(), lib.encode(text, add_bos=True, add_eos=True)
+        assert r["ids"] == ids and r["decoded"] == lib.decode(ids)
+        normal, place = pieces.encoder(normalising).norm.normalize(raw)
+        assert normal.decode() == lib.normalize(text) and len(place) == len(normal) + 1
+        spans = list(zip(r["spans"][::2], r["spans"][1::2]))
+        assert len(spans) == len(ids) - 2 and all(0 <= a <= b <= len(raw) for a, b in spans) and spans == sorted(spans)
+    one = pieces.encoded(df, normalising).first()
+    wide = one["spans"][2 * one["ids"].index(lib.piece_to_id("bc")) - 2 :][:2] if lib.piece_to_id("bc") in one["ids"] else None
+    assert wide is None or FOLDED[0].encode()[wide[0] : wide[1]].decode() == "ｂｃ"
+    rows = queries.op3_sentencepiece(spark, sf, normalising).collect()
+    for r in rows[:50]:
+        ids = lib.encode(documents[r["doc_id"]] or "", add_bos=True, add_eos=True)
+        assert r["n_tokens"] == len(ids) and r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
 def trie(words):
     """A compiled character map of ``words`` (key: replacement), in the Darts layout."""
     import struct
