@@ -5,7 +5,7 @@ block's bytes, and each text is compressed as a whole and in fixed chunks that c
 all of its bytes.
 
 Defined cases: a null or empty text has no words, so every count is 0 and it fails; rows that repeat are
-judged alike; columns besides the two that are named are not read. A text no longer than a chunk
+judged alike; columns besides the two that are named are not read. A text shorter than the first row of the chunk limits
 is judged by its whole ratio alone.
 """
 
@@ -38,7 +38,6 @@ class Bands:
     """
 
     level: int = 3
-    chunk_bytes: int = 4096
     whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 2.5),
         (100, 0.85, 3.0),
@@ -48,29 +47,41 @@ class Bands:
         (10000, 1.45, 5.5),
         (100000, 1.45, 7.0),
     )
-    #: Of full chunks: a chunk outside is bad, and a text is rejected if more than this share is.
-    chunk: tuple[float, float] = (1.35, 5.0)
-    bad_chunk_share: float = 0.3
+    #: ``chunks[i] = (least length, chunk bytes, lowest ratio, highest ratio, share)``: a chunk outside is bad, and a text is rejected
+    #: if more than this share is. Short chunks compress less, and a short text has few of them; base64 of 1,024 bytes
+    #: stays under 1.27 and prose over 1.6.
+    chunks: tuple[tuple[int, int, float, float, float], ...] = (
+        (2049, 1024, 1.33, 4.5, 0.4),
+        (8193, 4096, 1.35, 5.0, 0.3),
+        (131073, 4096, 1.35, 5.0, 0.2),
+    )
 
     def limits(self, n: int) -> tuple[float, float]:
         row = self.whole[bisect_right([w[0] for w in self.whole], n) - 1]
         return row[1], row[2]
 
+    def chunk_limits(self, n: int) -> tuple[int, float, float, float] | None:
+        at = bisect_right([c[0] for c in self.chunks], n)
+        return self.chunks[at - 1][1:] if at else None
+
 
 def ratios(raw: bytes, bands: Bands, compressor) -> tuple[float, int, int]:
     """Whole ratio, number of chunks and how many of them lie outside the chunk band. The last chunk overlaps the one before unless the length divides, so every byte is judged."""
     if not raw:
         return 0.0, 0, 0
-    whole, size = len(raw) / len(compressor.compress(raw)), bands.chunk_bytes
-    starts = [*range(0, len(raw) - size, size), len(raw) - size] if len(raw) > size else []
-    low, high = bands.chunk
+    whole, of = len(raw) / len(compressor.compress(raw)), bands.chunk_limits(len(raw))
+    if not of:
+        return whole, 0, 0
+    size, low, high, _ = of
+    starts = [*range(0, len(raw) - size, size), len(raw) - size]
     bad = sum(not low <= size / len(compressor.compress(raw[i : i + size])) <= high for i in starts)
     return whole, len(starts), bad
 
 
 def verdict(n: int, whole: float, chunks: int, bad: int, bands: Bands) -> bool:
     low, high = bands.limits(n)
-    return low <= whole <= high and bad <= bands.bad_chunk_share * chunks
+    of = bands.chunk_limits(n)
+    return low <= whole <= high and (not of or bad <= of[3] * chunks)
 
 
 def sums(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
