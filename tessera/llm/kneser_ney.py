@@ -2,7 +2,7 @@
 
 Training: words become 64-bit hashes, a task collapses the n-grams of some million tokens at a time and deals
 them, as packed arrays, by the hash of their context. What meets in a part are the distinct n-grams of its
-contexts, so counts, context totals and the numbers of successors seen once, twice and more often are sums over one
+contexts, so counts (64 bits), context totals and the numbers of successors seen once, twice and more often are sums over one
 sorted array. Each distinct n-gram then counts once for its suffix, an n-gram one shorter, and is dealt
 on by that one's context: the same step for each order down to single words. Each part writes its arrays, sorted by
 hash, to the shared folder under a temporary name and renames them, so a task that runs again does no harm.
@@ -79,26 +79,40 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U64(48)) * U64(parts) >> U64(16)).astype(np.int64)
 
 
+#: Counts from here on are packed apart, as eight bytes.
+LARGE = 255
+
+
 def pack(columns: list[np.ndarray], counts: np.ndarray, parts: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
     """(kind, part, packed rows) by part of the first column; the rows are sorted by it."""
     part = part_of(columns[0], parts)
     edge = np.searchsorted(part, np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(edge)):
         s = slice(edge[p], edge[p + 1])
-        yield kind, int(p), b"".join([np.int64(s.stop - s.start).tobytes(), *(c[s].tobytes() for c in columns), counts[s].astype(np.uint32).tobytes()])
+        c = counts[s]
+        large = c[c >= LARGE].astype(np.int64)
+        yield kind, int(p), b"".join([np.array([len(c), len(large)], dtype=np.int64).tobytes(), large.tobytes(), *(x[s].tobytes() for x in columns), np.minimum(c, LARGE).astype(np.uint8).tobytes()])
 
 
 def unpack(blobs: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
     columns: list[list[np.ndarray]] = [[] for _ in range(width)]
     counts = []
     for b in blobs:
-        n = int(np.frombuffer(b, dtype=np.int64, count=1)[0])
+        n, m = np.frombuffer(b, dtype=np.int64, count=2).tolist()
+        at = 16 + 8 * m
         for k in range(width):
-            columns[k].append(np.frombuffer(b, dtype=U64, count=n, offset=8 + 8 * n * k))
-        counts.append(np.frombuffer(b, dtype=np.uint32, count=n, offset=8 + 8 * n * width))
+            columns[k].append(np.frombuffer(b, dtype=U64, count=n, offset=at + 8 * n * k))
+        c = np.frombuffer(b, dtype=np.uint8, count=n, offset=at + 8 * n * width).astype(np.int64)
+        c[c == LARGE] = np.frombuffer(b, dtype=np.int64, count=m, offset=16)
+        counts.append(c)
     if not blobs:
         return [np.zeros(0, dtype=U64)] * width, np.zeros(0, dtype=np.int64)
-    return [np.concatenate(c) for c in columns], np.concatenate(counts).astype(np.int64)
+    return [np.concatenate(c) for c in columns], np.concatenate(counts)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
 def collapse(columns: list[np.ndarray], counts: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
@@ -160,12 +174,12 @@ class Model:
     unknown_mass: float
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 2, path: str | None = None) -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 3, path: str | None = None) -> Model:
     """Counts the n-grams of every text of ``docs`` and writes the model to ``path``, a shared folder."""
     spark = docs.sparkSession
     path = mounted(path or shared_path(spark, "kneser-ney"))
     source = docs.select(F.col(f"`{text}`").alias("__text"))
-    parts = max(64, 2 * source.rdd.getNumPartitions())
+    parts = max(64, 4 * source.rdd.getNumPartitions())
     os.makedirs(path, exist_ok=True)
     schema = "kind int, part int, blob binary"
 
@@ -207,11 +221,11 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, path: str | None
                 keys = gram_keys(context, word)
                 by_key = np.argsort(keys)
                 save(path, f"{n}-{part}-keys", keys[by_key])
-                save(path, f"{n}-{part}-counts", c[by_key].astype(np.uint32))
+                save(path, f"{n}-{part}-counts", narrow(c[by_key]))
                 new = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
                 of = lambda x: np.add.reduceat(x.astype(np.int64), new)
                 save(path, f"{n}-{part}-contexts", context[new])
-                save(path, f"{n}-{part}-totals", np.stack((of(c), of(c == 1), of(c == 2), of(c > 2)), axis=1).astype(np.uint32 if c.sum() < 1 << 32 else U64))
+                save(path, f"{n}-{part}-totals", narrow(np.stack((of(c), of(c == 1), of(c == 2), of(c > 2)), axis=1)))
                 rows = [(n, part, None, count_of_counts(c))]
                 lower, sums = collapse(columns[1:], np.ones(len(c), dtype=np.int64))
                 rows += [(x[0], x[1], x[2], None) for x in pack(lower, sums, parts, n - 1)]

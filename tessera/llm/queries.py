@@ -66,7 +66,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
-def op2_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+def op2_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:
     """Scores of all documents under a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = kneser_ney.train(docs.where(~kneser_ney.held_out()), order=order)

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import kneser_ney, queries
@@ -81,10 +82,19 @@ def test_query_on_its_table(spark, sf):
     rows = queries.op2_lm_scoring(spark, sf).collect()
     docs = {r["doc_id"]: r["text"] for r in queries.table(spark, sf, "documents").collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    raw, _, score = brute([t for i, t in docs.items() if not held(i)], 2)
+    raw, _, score = brute([t for i, t in docs.items() if not held(i)], 3)
     assert {r["doc_id"] for r in rows} == set(docs)
     for r in rows:
         assert r["held_out"] == held(r["doc_id"]) and r["train_tokens"] == sum(raw.values())
         assert r["score"] == pytest.approx(score(docs[r["doc_id"]]), rel=1e-9)
     away = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in away) > sum(r["base_score"] for r in away)
+
+
+def test_large_counts_are_packed_whole():
+    columns = [np.sort(np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64)) for _ in range(2)]
+    counts = np.array([1, 254, 255, 256, 2**40] * 10)
+    blobs = list(kneser_ney.pack(columns, counts, 1, 2))
+    back, n = kneser_ney.unpack([b[2] for b in blobs] * 2, 2)
+    assert (n == np.tile(counts, 2)).all() and all((x == np.tile(y, 2)).all() for x, y in zip(back, columns))
+    assert kneser_ney.narrow(counts).dtype == np.uint64 and (kneser_ney.narrow(counts) == counts).all()
