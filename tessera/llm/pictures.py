@@ -14,7 +14,7 @@ corners share is dealt into parts: each of the library's corners goes to one, ea
 still meets once.
 
 Reads PGM, PPM and PNG (8 bits, not interlaced). Defined cases: a null, empty or unreadable picture, or one too small for
-a patch, has no corners and no links; repeated rows belong to one picture; an empty table gives an empty result.
+a patch, has no corners and no links (JPEG and palette PNG are not read); of keys that repeat, one row's pixels are shown; repeated rows belong to one picture; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ TURNS, TESTS, TABLES = 32, 128, 4
 MOST_BITS, LEAST_VOTES, HOT = 14, 5, 1000
 #: Common entries that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 10_000
+#: Corners that a picture may have, so that a match is one number.
+PLACES = 1 << 24
 #: Side of a bin of shifts, in pixels.
 BIN = 12.0
 
@@ -228,7 +230,7 @@ def entries(pictures: DataFrame, name: str) -> DataFrame:
     """One row for each corner and table: picture, place ``i``, the descriptor and the table entry ``k``."""
     words = [F.shiftrightunsigned("c.a", 32), F.col("c.a").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("c.b", 32), F.col("c.b").bitwiseAND(0xFFFFFFFF)]
     rows = pictures.select(F.col("__id").alias(name), F.posexplode("corners").alias(f"i_{name}", "c"))
-    return rows.select(name, f"i_{name}", F.col("c.a").alias(f"a_{name}"), F.col("c.b").alias(f"b_{name}"), F.explode(F.array(*[w + F.lit(t << 32) for t, w in enumerate(words)])).alias("k"))
+    return rows.select(name, F.col(f"i_{name}").cast("long").alias(f"i_{name}"), F.col("c.a").alias(f"a_{name}"), F.col("c.b").alias(f"b_{name}"), F.explode(F.array(*[w + F.lit(t << 32) for t, w in enumerate(words)])).alias("k"))
 
 
 def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
@@ -247,10 +249,13 @@ def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str =
         by = by.join(hot, "k", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     differ = F.bit_count(F.col("a_q").bitwiseXOR(F.col("a_l"))) + F.bit_count(F.col("b_q").bitwiseXOR(F.col("b_l")))
     same = [by[c] == of[c] for c in (["k", "part"] if common else ["k"])]
-    met = by.join(of, [*same, differ <= MOST_BITS]).select("q", "i_q", "l", "i_l").distinct()
-    corner = lambda i: F.get("corners", F.col(i))
-    met = met.join(asked.select(F.col("__id").alias("q"), "corners"), "q").select("q", F.col("i_q").alias("i"), "l", "i_l", corner("i_q").alias("qc"))
-    met = met.join(firsts.select(F.col("__id").alias("l"), "corners"), "l").select("q", "i", "l", "qc", corner("i_l").alias("lc"))
+    # a match is one number, its two places; pairs of pictures with too few matches for a link end here, before any geometry
+    match = (F.col("i_q") * PLACES + F.col("i_l")).alias("m")
+    pairs = by.join(of, [*same, differ <= MOST_BITS]).select("q", "l", match).groupBy("q", "l").agg(F.collect_set("m").alias("all"))
+    pairs = pairs.where(F.size(F.array_distinct(F.transform("all", lambda m: F.floor(m / PLACES)))) >= LEAST_VOTES)
+    pairs = pairs.join(asked.select(F.col("__id").alias("q"), F.col("corners").alias("cq")), "q").join(firsts.select(F.col("__id").alias("l"), F.col("corners").alias("cl")), "l")
+    corner = lambda c, i: F.get(c, i.cast("int"))
+    met = pairs.select("q", "l", F.explode(F.transform("all", lambda m: F.struct(F.floor(m / PLACES).alias("i"), corner("cq", F.floor(m / PLACES)).alias("qc"), corner("cl", F.pmod(m, F.lit(PLACES))).alias("lc")))).alias("m")).select("q", "l", "m.*")
     turn = F.pmod(F.col("lc.turn") - F.col("qc.turn"), F.lit(TURNS))
     scales = F.array(*map(F.lit, SCALES))
     ratio = F.get(scales, F.col("qc.scale")) / F.get(scales, F.col("lc.scale"))
@@ -258,12 +263,9 @@ def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str =
     dx = F.col("lc.x") - ratio * (F.cos(angle) * F.col("qc.x") - F.sin(angle) * F.col("qc.y"))
     dy = F.col("lc.y") - ratio * (F.sin(angle) * F.col("qc.x") + F.cos(angle) * F.col("qc.y"))
     bins = F.array(*[F.struct(F.floor((F.col("turn") + o) / 4).alias("r"), F.col("ratio").alias("s"), F.floor(F.col("dx") / BIN + h).alias("u"), F.floor(F.col("dy") / BIN + v).alias("w"), F.lit(k).alias("o")) for k, (o, h, v) in enumerate([(o, h, v) for o in (0, 2) for h in (0.0, 0.5) for v in (0.0, 0.5)])])
-    # pairs of pictures with too few matches for a link are left before any vote is cast; a pair has at most corners times corners
-    match = F.struct("i", turn.alias("turn"), F.round(ratio, 3).alias("ratio"), dx.alias("dx"), dy.alias("dy"))
-    pairs = met.groupBy("q", "l").agg(F.collect_list(match).alias("all")).where(F.size(F.array_distinct(F.transform("all", lambda m: m["i"]))) >= LEAST_VOTES)
-    votes = pairs.select("q", "l", F.explode("all").alias("m")).select("q", "l", "m.*").select("q", "i", "l", F.explode(bins).alias("bin"))
+    votes = met.select("q", "l", "i", turn.alias("turn"), F.round(ratio, 3).alias("ratio"), dx.alias("dx"), dy.alias("dy")).select("q", "i", "l", F.explode(bins).alias("bin"))
     agreed = votes.groupBy("q", "l", "bin").agg(F.count_distinct("i").alias("v")).where(F.col("v") >= LEAST_VOTES).groupBy("q", "l").agg(F.max("v").alias("v"))
-    best = agreed.groupBy("q").agg(F.count(F.lit(1)).alias("n_links"), F.max_by("l", F.struct(F.col("v"), -F.col("l"))).alias("best_id"), F.max("v").alias("best_votes"))
+    best = agreed.groupBy("q").agg(F.count(F.lit(1)).alias("n_links"), F.min_by("l", F.struct(-F.col("v"), F.col("l"))).alias("best_id"), F.max("v").alias("best_votes"))
     best = best.join(classes.select(F.col("__class").alias("best_id"), F.col("members").alias("best_members")), "best_id", "left")
     return asked.select(F.col("__id").alias("q"), F.size("corners").alias("n_corners")).join(best, "q", "left").select(
         F.col("q").alias(key), F.col("n_corners").cast("long").alias("n_corners"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_id", "best_votes", "best_members"
@@ -280,28 +282,38 @@ def painted(vectors: np.ndarray) -> np.ndarray:
     return np.clip(np.repeat(np.repeat(cells, 8, axis=1), 8, axis=2), 0, 255)
 
 
-def edited(pictures: np.ndarray) -> np.ndarray:
-    """A crop, less contrast, lighter, and a fixed grain."""
-    part = pictures[:, 11:85, 7:91]
+#: What is done to a picture besides less contrast, more light and a fixed grain.
+EDITS = ("crop", "quarter turn", "rescale")
+
+
+def edited(pictures: np.ndarray, edit: str = "crop") -> np.ndarray:
+    """Less contrast, more light and a fixed grain on a crop, or on all of it turned by a quarter or rescaled."""
+    if edit == "crop":
+        part = pictures[:, 11:85, 7:91]
+    elif edit == "quarter turn":
+        part = np.rot90(pictures, axes=(1, 2))
+    else:
+        part = resized(pictures, 0.6)
     grain = np.random.default_rng(3).normal(0, 1.5, part.shape[1:])
     return np.clip(part * 0.8 + 30 + grain, 0, 255)
 
 
 def pictures_of(vectors: DataFrame, key: str, vector: str, edit: bool = False) -> DataFrame:
-    """Pictures painted from vectors, as PGM, for want of a table of pictures; a null vector gives none."""
-    source = vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("v"))
+    """Pictures painted from vectors, as PGM, for want of a table of pictures; a null vector gives none. ``edit`` deals the edits out by a hash of the key."""
+    kind = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(len(EDITS))).alias("kind")
+    source = vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("v"), kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 out = []
-                for v in part.column(1).to_pylist():
+                for v, kind in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     if not v:
                         out.append(None)
                         continue
                     one = painted(np.nan_to_num(np.array([[x or 0.0 for x in v]])))
-                    out.append(pgm((edited(one) if edit else one)[0]))
+                    out.append(pgm((edited(one, EDITS[kind]) if edit else one)[0]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, type=pa.binary())], names=["id", "image"])
 
     return source.mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, image binary")

@@ -126,13 +126,26 @@ def test_names_mark_as_a_whole():
 
 def test_copies_are_found(spark, sf):
     rows = queries.op1_media_columns(spark, sf).collect()
-    vectors = {r["vec_id"]: tuple(r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    vectors = {r["vec_id"]: tuple(r["embedding"]) for r in table.collect()}
     assert sorted(r["vec_id"] for r in rows) == sorted(i for i in vectors if i % 20 == 0)
     right = sum(r["best_id"] is not None and vectors[r["best_id"]] == vectors[r["vec_id"]] for r in rows)
     assert right / len(rows) >= 0.9  # against the known answer
     assert sum(r["n_links"] for r in rows) <= 1.2 * len(rows)
 
 
+@pytest.mark.parametrize("edit", pictures.EDITS)
+def test_recall_by_edit(spark, sf, edit):
+    vectors = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(120).collect()]
+    painted = [(i, pictures.painted(np.array([v]))) for i, v in vectors]
+    schema = "id long, image binary"
+    library = spark.createDataFrame([(i, pictures.pgm(p[0])) for i, p in painted], schema)
+    asked = spark.createDataFrame([(i, pictures.pgm(pictures.edited(p, edit)[0])) for i, p in painted[::3]], schema)
+    same = {i: {j for j, w in vectors if w == v} for i, v in vectors}
+    rows = pictures.search(asked, library).collect()
+    assert sum(r["best_id"] in same[r["id"]] for r in rows) >= 0.9 * len(rows)
+
+
 def test_pictures_turned_scaled_and_unlike(spark):
     r = np.random.default_rng(1)
     base = [pictures.painted(r.normal(0, 0.13, (1, 64)))[0] for _ in range(12)]
