@@ -8,8 +8,8 @@ orthogonal to all of them: each pair within the radius agrees under that mask an
 Each table's entries are dealt, as packed arrays, by range of the hash of their masked bits. What meets there is sorted,
 and fingerprints that share a bucket are compared by counting the bits they differ in, so links are read from the
 tables. A bucket gives one link from each linked fingerprint to the least of those it is connected with there, never its pairs. One of
-more than ``BUCKET`` fingerprints is cut into blocks, and each pair of blocks is compared by itself. Components come from
-alternating star contraction over the links, one shared table a round.
+more than ``BUCKET`` fingerprints is cut into blocks, and each pair of blocks is compared by itself. The tables' links are thinned
+to forests, a bounded chunk at a time, and components come from alternating star contraction, one shared table a round.
 
 A second fingerprint (``check``) may have to agree as well, within a radius of its own: ``deduplicated`` searches by the set of a
 text's words, which near copies hardly change, within six bits, and confirms by five-word shingles within
@@ -178,16 +178,39 @@ def folded(fp: np.ndarray, check: np.ndarray, first: np.ndarray, size: np.ndarra
     return connected(len(fp), np.concatenate([*one, np.arange(len(fp))]), np.concatenate([*two, label]))
 
 
-LINKS = "bucket long, block int, blob binary, a struct<f:long,c:long>, b struct<f:long,c:long>"
+EDGES = "af long, ac long, bf long, bc long"
+LINKS = "bucket long, block int, blob binary, " + EDGES
 
 
 def link_rows(fp: np.ndarray, check: np.ndarray, root: np.ndarray) -> pd.DataFrame:
     """A link from each place to its root."""
     far = np.flatnonzero(root != np.arange(len(fp)))
-    f, c = fp.view(np.int64).tolist(), check.view(np.int64).tolist()
-    node = lambda i: {"f": f[i], "c": c[i]}
-    rows = [(None, None, None, node(r), node(i)) for i, r in zip(far.tolist(), root[far].tolist())]
-    return pd.DataFrame(rows, columns=["bucket", "block", "blob", "a", "b"])
+    f, c, root = fp.view(np.int64), check.view(np.int64), root[far]
+    return pd.DataFrame({"bucket": np.zeros(len(far), dtype=np.int64), "block": np.zeros(len(far), dtype=np.int32), "blob": None, "af": f[root], "ac": c[root], "bf": f[far], "bc": c[far]})
+
+
+#: Links that are thinned together.
+CHUNK = 1 << 17
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Links of the same components, of which chunks have no more than a forest: what several tables say is said once."""
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = np.concatenate([pdf[["af", "ac"]].to_numpy(), pdf[["bf", "bc"]].to_numpy()])
+        nodes, place = np.unique(ends, axis=0, return_inverse=True)
+        one, two = place.reshape(2, -1)
+        return link_rows(nodes[:, 0].copy().view(U64), nodes[:, 1].copy().view(U64), connected(len(nodes), one, two))[["af", "ac", "bf", "bc"]]
+
+    n = edges.count()
+    while n:
+        parts = -(-n // CHUNK)
+        chunk = F.pmod(F.xxhash64(*[c.split()[0] for c in EDGES.split(", ")]), F.lit(parts))
+        edges = keep(edges.groupBy(chunk.alias("chunk")).applyInPandas(forest, EDGES), "thinned")
+        was, n = n, edges.count()
+        if parts == 1 or 4 * n > 3 * was:
+            break
+    return edges
 
 
 def links(fps: DataFrame, like: Likeness) -> DataFrame:
@@ -231,7 +254,7 @@ def links(fps: DataFrame, like: Likeness) -> DataFrame:
         for i, n in zip(first[size > BUCKET].tolist(), size[size > BUCKET].tolist()):
             cut = [np.stack((fp[j : min(j + BUCKET // 2, i + n)], check[j : min(j + BUCKET // 2, i + n)])).tobytes() for j in range(i, i + n, BUCKET // 2)]
             bucket = int(k[i : i + 1].view(np.int64)[0])
-            rows.append(pd.DataFrame([(bucket, j, x, None, None) for j, x in enumerate(cut)], columns=["bucket", "block", "blob", "a", "b"]))
+            rows.append(pd.DataFrame([(bucket, j, x, 0, 0, 0, 0) for j, x in enumerate(cut)], columns=list(rows[0].columns)))
         return pd.concat(rows) if len(rows) > 1 else rows[0]
 
     def blocks_meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,7 +267,9 @@ def links(fps: DataFrame, like: Likeness) -> DataFrame:
     # a block meets itself along with its first neighbour, so two blocks of a bucket are in one group for each pair of them
     pairs = large.join(n, "bucket").select("bucket", "blob", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("j")).where("i != j")
     more = pairs.groupBy("bucket", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high")).applyInPandas(blocks_meet, LINKS)
-    return found.where("a is not null").select("a", "b").union(more.select("a", "b"))
+    ends = [c.split()[0] for c in EDGES.split(", ")]
+    edges = thinned(found.where("blob is null").select(*ends).union(more.select(*ends)))
+    return edges.select(*[F.struct(F.col(x + "f").alias("f"), F.col(x + "c").alias("c")).alias(x) for x in "ab"])
 
 
 def components(edges: DataFrame) -> DataFrame:
