@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frame import with_row_id
+
 EPS = 1e-9
 
 
@@ -186,7 +188,9 @@ def validate(collars: DataFrame, surveys: DataFrame, table: DataFrame, key: str,
 def axis_geometry(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
     """Origin, pitch and count of a regular axis: the commonest gap between neighbouring distinct coordinates."""
     points = df.select(F.round(column, digits).alias("x")).where(F.col("x").isNotNull()).distinct()
-    gaps = points.select("x", F.round(F.col("x") - F.lag("x").over(Window.orderBy("x")), digits).alias("g")).where("g is not null")
+    placed = with_row_id(points, ["x"], "i")
+    before = placed.select((F.col("i") + 1).alias("i"), F.col("x").alias("b"))
+    gaps = placed.join(before, "i").select(F.round(F.col("x") - F.col("b"), digits).alias("g"))
     pitch = gaps.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("g", F.struct(-F.col("n"), "g")).alias("pitch"))
     ends = points.agg(F.min("x").alias("origin"), F.max("x").alias("last"))
     return ends.crossJoin(F.broadcast(pitch)).select("origin", "pitch", (F.round((F.col("last") - F.col("origin")) / F.col("pitch")) + 1).cast("long").alias("count"))

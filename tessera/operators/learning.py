@@ -32,10 +32,26 @@ def max_abs_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.withColumns({c: F.coalesce(F.try_divide(F.col(c), F.col(f"__a_{c}")), F.lit(0.0)) for c in columns}).select(*df.columns)
 
 
+def quantiles(df: DataFrame, column: str, points: Sequence[float], name: str = "q") -> DataFrame:
+    """One row with ``name``, the exact quantiles between neighbouring ranks; distinct values are counted and summed in ranges, so no task holds them all."""
+    from .frame import running_total
+
+    counts = df.select(F.col(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_total(counts, ["v"], "n", "upto")
+    at = upto.crossJoin(F.broadcast(upto.agg(F.max("upto").alias("all"))))
+    place = [F.lit(float(p)) * (F.col("all") - 1) for p in points]
+    low = [F.min(F.when(F.col("upto") > F.floor(h), F.col("v"))).alias(f"a{i}") for i, h in enumerate(place)]
+    high = [F.min(F.when(F.col("upto") > F.ceil(h), F.col("v"))).alias(f"b{i}") for i, h in enumerate(place)]
+    between = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (h - F.floor(h)) for i, h in enumerate(place)]
+    return at.agg(F.max("all").alias("all"), *low, *high).select(F.array(*between).alias(name))
+
+
 def robust_scale(df: DataFrame, columns: Sequence[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
-    stats = [F.percentile(c, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(f"__q_{c}") for c in columns]
     q = lambda c, i: F.get(F.col(f"__q_{c}"), F.lit(i))
-    out = _one_row(df, *stats).withColumns({c: (F.col(c) - q(c, 1)) / F.when(q(c, 2) > q(c, 0), q(c, 2) - q(c, 0)).otherwise(1.0) for c in columns})
+    out = df
+    for c in columns:
+        out = out.crossJoin(F.broadcast(quantiles(df, c, (low, 0.5, high), f"__q_{c}")))
+    out = out.withColumns({c: (F.col(c) - q(c, 1)) / F.when(q(c, 2) > q(c, 0), q(c, 2) - q(c, 0)).otherwise(1.0) for c in columns})
     return out.select(*df.columns)
 
 
@@ -52,14 +68,18 @@ def one_hot(df: DataFrame, column: str, values: Sequence) -> DataFrame:
 
 def quantile_bins(df: DataFrame, column: str, n: int) -> DataFrame:
     """Bins of equal counts."""
-    edges = F.percentile(column, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("__e")
-    out = _one_row(df, edges)
+    out = df.crossJoin(F.broadcast(quantiles(df, column, [i / n for i in range(1, n)], "__e")))
     code = F.size(F.filter("__e", lambda e: F.col(column) >= e))
     return out.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), code)).drop("__e")
 
 
 def impute(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFrame:
-    of = {"mean": F.avg, "median": F.median, "most_frequent": F.mode}[how]
+    if how == "median":
+        out = df
+        for c in columns:
+            out = out.crossJoin(F.broadcast(quantiles(df, c, [0.5], f"__i_{c}")))
+        return out.withColumns({c: F.coalesce(c, F.get(f"__i_{c}", F.lit(0))) for c in columns}).select(*df.columns)
+    of = {"mean": F.avg, "most_frequent": F.mode}[how]
     out = _one_row(df, *[of(c).alias(f"__i_{c}") for c in columns])
     return out.withColumns({c: F.coalesce(c, F.col(f"__i_{c}")) for c in columns}).select(*df.columns)
 
@@ -140,6 +160,16 @@ def linear_predict(weights: dict[str, float]) -> Column:
     return sum((F.col(n) * w for n, w in weights.items() if n != "1"), F.lit(weights["1"]))
 
 
+def cross_validate(df: DataFrame, fold: Column, folds: int, features: Sequence[str], target: str, ridge: float = 0.0) -> DataFrame:
+    """``fold, rows, rmse``: each fold predicted by a line fitted to the others. One aggregation a fold, and one for all errors."""
+    marked = df.withColumn("__fold", fold)
+    error = F.lit(None).cast("double")
+    for k in range(folds):
+        weights = linear_fit(marked.where(F.col("__fold") != k), features, target, ridge)
+        error = F.when(F.col("__fold") == k, F.col(target) - linear_predict(weights)).otherwise(error)
+    return marked.withColumn("__e", error).groupBy(F.col("__fold").alias("fold")).agg(F.count("__e").alias("rows"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"))
+
+
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 

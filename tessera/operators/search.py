@@ -6,6 +6,7 @@ touches only the postings of its terms, and only the terms' counts are joined ba
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -15,16 +16,29 @@ from pyspark.sql import functions as F
 from ..plans.shared import keep
 
 #: Common words that carry no meaning (fixed values).
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "his", "i", "if", "in", "into", "is", "it", "its", "of", "on", "or", "our", "she", "so", "than", "that",
+    "the", "their", "them", "then", "there", "these", "they", "this", "to", "us", "was", "we", "were", "what", "when", "where", "which", "while", "who", "will", "with", "you", "your",
+)
+
+
+def folding() -> tuple[str, str]:
+    """Letters whose canonical decomposition is one letter and combining marks, that letter for each, and then the marks, which go."""
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    bare = {ch: "".join(c for c in unicodedata.normalize("NFD", ch) if c not in marks) for ch in map(chr, range(0xC0, 0x2000))}
+    found = [ch for ch, b in bare.items() if len(b) == 1 and b != ch and ch not in marks]
+    return "".join([*found, *marks]), "".join(bare[ch] for ch in found)
+
+
+ACCENTED, PLAIN = folding()
 K1, B = 1.5, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case terms without accents: letters, digits and apostrophes, or runs beyond ASCII; two characters at least, no stopwords."""
-    words = F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), F.lit("([a-z0-9']+|[^\\x00-\\x7f]+)"), F.lit(1))
-    return F.filter(words, lambda w: (F.char_length(w) >= 2) & ~w.isin(*STOPWORDS))
+    """Lower-case terms without accents: letters, digits and inner apostrophes, or runs beyond ASCII; two characters at least, no stopwords."""
+    words = F.regexp_extract_all(F.lower(F.translate(F.coalesce(text, F.lit("")), ACCENTED, PLAIN)), F.lit("([a-z0-9']+|[^\\x00-\\x7f]+)"), F.lit(1))
+    bare = F.transform(words, lambda w: F.regexp_replace(w, "^'+|'+$", ""))
+    return F.filter(bare, lambda w: (F.char_length(w) >= 2) & ~w.isin(*STOPWORDS))
 
 
 class Index:
@@ -57,9 +71,33 @@ class Index:
     def vocabulary(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count_distinct("doc").alias("df"))
 
-    def search(self, queries: DataFrame, key: str, text: str, limit: int = 10) -> DataFrame:
-        """``key, doc, score, rank``: the best ``limit`` documents of each query."""
+    def expand(self, asked: DataFrame, prefix: bool = True, fuzzy: int = 0, synonyms: dict[str, Sequence[str]] | None = None) -> DataFrame:
+        """``asked(q, term)`` with a weight, and what its terms stand for: synonyms (1) and, for terms that the index has not, terms that begin with
+        them (0.8, from three letters on) and terms within ``fuzzy`` edits (0.5 at one, 0.2 at two; from five letters on one, from eight on two)."""
+        known = self.vocabulary().select(F.col("term").alias("t"))
+        out = asked.withColumn("weight", F.lit(1.0))
+        if synonyms:
+            pairs = asked.sparkSession.createDataFrame([(a, b) for a, bs in synonyms.items() for b in bs], "term string, t string")
+            out = out.unionByName(asked.join(F.broadcast(pairs), "term").join(known, "t").select("q", F.col("t").alias("term"), F.lit(1.0).alias("weight")))
+        new = asked.select("term").distinct().join(known, F.col("term") == F.col("t"), "left_anti")
+        near = None
+        if prefix:
+            head = lambda c: F.left(c, F.lit(3))
+            near = new.where(F.char_length("term") >= 3).join(known, (head(F.col("term")) == head(F.col("t"))) & F.startswith("t", "term")).select("term", "t", F.lit(0.8).alias("weight"))
+        if fuzzy:
+            most = F.when(F.char_length("term") < 5, 0).when(F.char_length("term") < 8, min(fuzzy, 1)).otherwise(fuzzy)
+            met = new.where(most > 0).select("term", F.explode(deletions(F.col("term"), fuzzy)).alias("d")).join(known.select("t", F.explode(deletions(F.col("t"), fuzzy)).alias("d")), "d").select("term", "t").distinct()
+            close = met.withColumn("e", damerau(F.col("term"), F.col("t"), fuzzy)).where(F.col("e") <= most)
+            close = close.select("term", "t", F.greatest(F.lit(0.0), 0.5 - 0.3 * (F.col("e") - 1)).alias("weight"))
+            near = close if near is None else near.unionByName(close)
+        if near is not None:
+            out = out.unionByName(asked.join(near, "term").select("q", F.col("t").alias("term"), "weight"))
+        return out.groupBy("q", "term").agg(F.sum("weight").alias("weight"))
+
+    def search(self, queries: DataFrame, key: str, text: str, limit: int = 10, prefix: bool = False, fuzzy: int = 0, synonyms: dict[str, Sequence[str]] | None = None) -> DataFrame:
+        """``key, doc, score, rank``: the best ``limit`` documents of each query, whose terms may be expanded."""
         asked = queries.select(F.col(key).alias("q"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+        asked = self.expand(asked, prefix, fuzzy, synonyms) if prefix or fuzzy or synonyms else asked.withColumn("weight", F.lit(1.0))
         stats = self.lengths.groupBy("field").agg(F.avg("n").alias("avg_n"))
         n_docs = self.lengths.agg(F.count_distinct("doc").alias("docs"))
         boost = F.create_map(*[F.lit(x) for f, b in self.boosts.items() for x in (f, float(b))])
@@ -70,7 +108,7 @@ class Index:
         part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg_n")))
         per = sized.groupBy("term", "doc").agg(F.sum(boost[F.col("field")] * part).alias("w")).join(df, "term").crossJoin(F.broadcast(n_docs))
         idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        scores = asked.join(per.select("term", "doc", (idf * F.col("w")).alias("s")), "term").groupBy("q", "doc").agg(F.sum("s").alias("score"))
+        scores = asked.join(per.select("term", "doc", (idf * F.col("w")).alias("s")), "term").groupBy("q", "doc").agg(F.sum(F.col("weight") * F.col("s")).alias("score"))
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "doc"))
         return scores.withColumn("rank", rank).where(F.col("rank") <= limit).withColumnRenamed("q", key)
 

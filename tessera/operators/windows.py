@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import keep
+from .frame import running_total
+
 
 def by(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -51,6 +54,18 @@ def fold(df: DataFrame, value: str, start, step: Callable, keys: Sequence[str],
     return sorted_.mapInPandas(scan, f"{ddl}, `{name}` {kind}")
 
 
+def with_last(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """The last ``value`` that is not null up to each row. Without keys, ranges of the order are worked on apart, and each starts from what those before it end with."""
+    if keys:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(upto(keys, order)))
+    parts = keep(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    ends = parts.where(F.col(value).isNotNull()).groupBy("__part").agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    every = parts.select("__part").distinct().join(ends, "__part", "left")
+    ahead = every.select("__part", F.last("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    own = F.last(value, ignorenulls=True).over(upto(["__part"], order))
+    return parts.join(F.broadcast(ahead), "__part").withColumn(name, F.coalesce(own, "__before")).drop("__part", "__before")
+
+
 def runs(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Adjacent equal values as one row: first and last order value and the length."""
     w = by(keys, order)
@@ -60,12 +75,19 @@ def runs(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str]) -
     return marked.groupBy(*keys, "__run").agg(F.first(value).alias(value), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("length")).drop("__run")
 
 
-def average_rank(c: str, keys: Sequence[str] = ()) -> Column:
-    """Ties share the mean of their ranks."""
+def average_rank(c: str, keys: Sequence[str]) -> Column:
+    """Ties share the mean of their ranks, within ``keys``."""
     w = Window.partitionBy(*keys).orderBy(c)
     return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
 
 
+def with_average_rank(df: DataFrame, c: str, name: str) -> DataFrame:
+    """Ranks among all rows: distinct values are counted and summed in ranges, then joined back; a null has none."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ranks = running_total(counts, ["__v"], "__n", "__upto").select("__v", (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
+    return df.join(ranks, F.col(c) == F.col("__v"), "left").drop("__v")
+
+
 def rising(c: Column, keys: Sequence[str], order: Sequence[str]) -> Column:
     """True on the row where a condition becomes true."""
     return c & ~F.coalesce(F.lag(c).over(by(keys, order)), F.lit(False))

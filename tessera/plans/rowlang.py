@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import blanks as B
+from ..operators.windows import with_last
+from .shared import keep
 from .syntax import Cursor, Node, SyntaxFault, lex
 
 WINDOWS = frozenset("count sum mean min max std wmean".split())
@@ -524,16 +526,16 @@ class Plan:
                 self.df = self.df.join(found, mine, "left").drop(*[f"__e{i}" for i in range(len(equal))])
             else:
                 (low, lo_op, at), (high, hi_op, top) = sorted(ranges, key=lambda r: r[1][0] == ">")
-                rows = rows.select(*keys, F.struct(F.col(f"`{low}`").cast("double").alias("lo"), F.col("__seq").alias("seq"), F.col(f"`{high}`").cast("double").alias("hi"), payload.alias("v")).alias("__r"))
-                # per key a sorted list, searched for the rightmost lower bound: no pair of rows is ever formed
-                lists = rows.groupBy(*[f"__e{i}" for i in range(len(equal))]).agg(F.sort_array(F.collect_list("__r")).alias("__list"))
-                joined = self.df.join(lists, mine, "left").drop(*[f"__e{i}" for i in range(len(equal))])
+                # intervals and rows in one order: each row gets the last interval that starts before it
                 at, top = self.value(at).cast("double"), self.value(top).cast("double")
-                below = (lambda r: r["lo"] <= at) if lo_op == "<=" else (lambda r: r["lo"] < at)
-                last = F.element_at(F.filter("__list", below), -1)
-                last = F.when(F.size(F.filter(F.coalesce("__list", F.array().cast(lists.schema["__list"].dataType)), below)) > 0, last)
-                inside = top < last["hi"] if hi_op == ">" else top <= last["hi"]
-                self.df = joined.withColumn(out, F.when(inside, last["v"])).drop("__list")
+                held = keep(self.df.withColumn("__row", F.monotonically_increasing_id()))
+                names = [f"__e{i}" for i in range(len(equal))]
+                start, place = F.col(f"`{low}`").cast("double"), [F.lit(1 if lo_op == "<=" else -1).alias("__tie"), F.lit(None).cast(rows.schema["__seq"].dataType).alias("__seq")]
+                found = rows.where(start.isNotNull()).select(*keys, start.alias("__at"), F.lit(0).alias("__tie"), "__seq", F.struct(F.col(f"`{high}`").cast("double").alias("hi"), payload.alias("v")).alias("__r"))
+                asked = held.where(at.isNotNull()).select(*[self.value(v).cast("string").alias(n) for n, (_, v) in zip(names, equal)], at.alias("__at"), *place, "__row", top.alias("__top"))
+                both = with_last(found.unionByName(asked, allowMissingColumns=True), "__r", names, ["__at", "__tie", "__seq"], "__last").where("__row is not null")
+                inside = F.col("__top") < F.col("__last.hi") if hi_op == ">" else F.col("__top") <= F.col("__last.hi")
+                self.df = held.join(both.select("__row", F.when(inside, F.col("__last.v")).alias(out)), "__row", "left").drop("__row")
             self.shared[key] = out
         self.df = self.df.withColumn(name := self.name(), F.col(self.shared[key])[value.args[1]])
         self.planned[node] = name
@@ -569,15 +571,29 @@ class Plan:
             self.df = self.df.join(found, on, "left").drop(*keys)
         else:
             rows = self.df.withColumn("__row", F.monotonically_increasing_id())
-            from .shared import keep
-
             rows = keep(rows)
-            matched = rows.join(renamed, on).groupBy("__row").agg(self.aggregate(name, v).alias(out))
+            if extent is not None and not equal:
+                rows, renamed, on = self.binned(rows, renamed, (start, end), (lo, hi), on)
+                matched = rows.join(renamed, on).groupBy("__row").agg(self.aggregate(name, v).alias(out))
+                rows = rows.drop("__bin", "__first").dropDuplicates(["__row"])
+            else:
+                matched = rows.join(renamed, on).groupBy("__row").agg(self.aggregate(name, v).alias(out))
             self.df = rows.join(matched, "__row", "left").drop("__row")
         if name == "count":
             self.df = self.df.withColumn(out, F.coalesce(out, F.lit(0)))
         self.planned[node] = out
 
+    @staticmethod
+    def binned(rows: DataFrame, others: DataFrame, mine: tuple[Column, Column], theirs: tuple[Column, Column], on: list[Column]) -> tuple[DataFrame, DataFrame, list[Column]]:
+        """Both sides once for each bin of the mean interval's length that they touch; a pair meets in the first bin that it shares."""
+        length = lambda c: F.avg(F.abs(c[1] - c[0]))
+        width = max([x for x in (rows.agg(length(mine)).first()[0], others.agg(length(theirs)).first()[0]) if x and x < float("inf")], default=1.0)
+        place = lambda c: F.floor(c / F.lit(float(width)))
+        touched = lambda c: F.explode_outer(F.when(c[0].isNotNull() & c[1].isNotNull(), F.sequence(place(F.least(*c)), place(F.greatest(*c)))))
+        left = rows.withColumn("__first", F.least(*mine)).withColumn("__bin", touched(mine))
+        right = others.withColumn("__r___first", F.least(*theirs)).withColumn("__r___bin", touched(theirs))
+        return left, right, [*on, F.col("__bin") == F.col("__r___bin"), F.col("__bin") == place(F.greatest("__first", "__r___first"))]
+
     # statements
 
     def run(self, program: list[Statement]) -> tuple[DataFrame, list[Statement]]:

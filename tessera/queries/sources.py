@@ -28,6 +28,20 @@ def source_csv_comma_decimals(spark, d):
     return text.read_csv(spark, path)
 
 
+@query("SELECT s_suppkey::double AS s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier")
+def source_csv_gzip(spark, d):
+    path = place(spark, "csv-gz")
+    table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.csv(path, header=True, compression="gzip")
+    return text.read_csv(spark, path).withColumn("s_acctbal", F.round("s_acctbal", 2))
+
+
+@query("SELECT n_nationkey::double AS n_nationkey, n_name || chr(10) || 'x, \"y\"' AS note FROM nation")
+def source_csv_line_breaks(spark, d):
+    path = place(spark, "csv")
+    text.write_csv(table(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.lit('\nx, "y"')).alias("note")).coalesce(1), path)
+    return text.read_csv(spark, path)
+
+
 @query("SELECT p_size::double AS size, p_retailprice AS price FROM part")
 def source_geoeas(spark, d):
     path = place(spark, "geoeas")

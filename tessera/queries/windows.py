@@ -21,9 +21,9 @@ def rolling_window(spark, d):
     return df.select("event_id", F.round(W.rolling(F.col("value"), 5, F.avg, K, O), 6).alias("mean"), W.rolling(F.col("value"), 5, F.max, K, O).alias("high"))
 
 
-@query("WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id < 5), r AS (SELECT event_id, user_id, i, value * 0.1::double AS s FROM e WHERE i = 1 UNION ALL SELECT e.event_id, e.user_id, e.i, r.s * 0.9::double + e.value * 0.1::double FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT event_id, round(s, 6) AS smooth FROM r")
+@query("WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT event_id, user_id, i, value * 0.1::double AS s FROM e WHERE i = 1 UNION ALL SELECT e.event_id, e.user_id, e.i, r.s * 0.9::double + e.value * 0.1::double FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT event_id, round(s, 6) AS smooth FROM r")
 def running_fold(spark, d):
-    df = table(spark, d, "events").where("user_id < 5").select("event_id", "ts", "user_id", "value")
+    df = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
     return W.fold(df, "value", 0.0, lambda a, x: a * 0.9 + x * 0.1, K, O, "s").select("event_id", F.round("s", 6).alias("smooth"))
 
 
@@ -34,7 +34,7 @@ def adjacent_runs(spark, d):
 
 @query("SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::double AS r FROM part")
 def average_ranks(spark, d):
-    return table(spark, d, "part").select("p_partkey", W.average_rank("p_size").alias("r"))
+    return W.with_average_rank(table(spark, d, "part"), "p_size", "r").select("p_partkey", F.col("r").cast("double").alias("r"))
 
 
 @query("WITH a AS (SELECT *, value > 50 AS t, event_type = 'signup' AS r FROM events), b AS (SELECT *, (t AND NOT coalesce(lag(t) OVER (PARTITION BY user_id ORDER BY ts, event_id), false)) AS e, sum(r::int) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM a) SELECT event_id, (sum(CASE WHEN r THEN 0 ELSE e::int END) OVER (PARTITION BY user_id, p ORDER BY ts, event_id))::bigint AS count FROM b")

@@ -25,6 +25,8 @@ class Kind:
     skip: int
     names: tuple[str, ...]
     types: tuple[str, ...]
+    #: Whether quoted fields hold line breaks; such a file is read by one task, another in splits.
+    multi_line: bool = False
 
 
 def head(spark: SparkSession, path: str, n: int = HEAD_LINES) -> list[str]:
@@ -62,9 +64,23 @@ def number_like(text: str, decimal: str) -> bool:
     return bool(re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", t))
 
 
+def logical(lines: list[str]) -> list[str]:
+    """Lines joined while a quote is open; an open one at the end is left as it is."""
+    out: list[str] = []
+    held: list[str] = []
+    for x in lines:
+        held.append(x)
+        if "\n".join(held).count('"') % 2 == 0:
+            out.append("\n".join(held))
+            held = []
+    return out + held[:1]
+
+
 def sniff(lines: list[str]) -> Kind:
     """The separator that splits most lines into the same number of fields, and what the columns hold."""
     lines = [x.lstrip("﻿").rstrip("\r") for x in lines]
+    multi_line = any(x.count('"') % 2 for x in lines)
+    lines = logical(lines) if multi_line else lines
     skip = next((i for i, x in enumerate(lines) if x.strip() and not x.startswith(("#", "//", ";;"))), 0)
     body = [x for x in lines[skip:] if x.strip()]
     best = (0.0, ",")
@@ -84,21 +100,26 @@ def sniff(lines: list[str]) -> Kind:
         column = [r[i].strip() for r in rows[1 if header else 0 :] if i < len(r)]
         some = [c for c in column if c.lower() not in B.TABLE_NULLS]
         types.append("double" if some and sum(number_like(c, decimal) for c in some) >= 0.8 * len(some) else "string")
-    return Kind(separator, header, decimal, skip, names, tuple(types))
+    return Kind(separator, header, decimal, skip, names, tuple(types), multi_line)
 
 
 def read_raw(spark: SparkSession, path: str, kind: Kind) -> DataFrame:
-    """All columns as text. Quotes, doubled quotes and line breaks inside quotes are honoured."""
+    """All columns as text. Quotes and doubled quotes are honoured, and line breaks inside quotes if ``kind`` says that there are some."""
     schema = ", ".join(f"`{n}` string" for n in kind.names)
-    return spark.read.schema(schema).csv(path, sep=kind.separator, header=kind.header, quote='"', escape='"', comment="#" if kind.skip else None, multiLine=False, mode="PERMISSIVE")
+    return spark.read.schema(schema).csv(path, sep=kind.separator, header=kind.header, quote='"', escape='"', comment="#" if kind.skip else None, multiLine=kind.multi_line, mode="PERMISSIVE")
 
 
 def read_csv(spark: SparkSession, path: str, kind: Kind | None = None, nulls: tuple[str, ...] = B.TABLE_NULLS, ignore_case: bool = True) -> DataFrame:
-    """Typed columns; null tokens and what does not read as a number are null."""
-    kind = kind or sniff(head(spark, path))
+    """Typed columns; null tokens and what does not read as a number are null. Without a ``kind``, the head says how lines are cut and all rows what is a number: four of five values of a column at least."""
+    given, kind = kind, kind or sniff(head(spark, path))
     raw = read_raw(spark, path, kind)
     read = B.comma_number if kind.decimal == "," else B.number
-    return raw.select([(read(c) if t == "double" else c).alias(n) for n, t in zip(kind.names, kind.types) for c in [B.null_tokens(F.col(f"`{n}`"), nulls, ignore_case)]])
+    cells = [B.null_tokens(F.col(f"`{n}`"), nulls, ignore_case) for n in kind.names]
+    types = kind.types
+    if not given and cells:
+        counts = raw.agg(*[f(x).alias(f"{k}{i}") for i, c in enumerate(cells) for k, f, x in (("some", F.count, c), ("numbers", F.count, read(c)))]).first()
+        types = ["double" if counts[f"some{i}"] and 5 * counts[f"numbers{i}"] >= 4 * counts[f"some{i}"] else "string" for i in range(len(cells))]
+    return raw.select([(read(c) if t == "double" else c).alias(n) for n, t, c in zip(kind.names, types, cells)])
 
 
 def lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
@@ -112,9 +133,10 @@ def read_geoeas(spark: SparkSession, path: str) -> DataFrame:
     top = head(spark, path)
     n = int(top[1].split()[0])
     names = [x.strip() for x in top[2 : 2 + n]]
-    rows = spark.read.text(path).where(F.trim("value").rlike(r"^[-+.\d]")).select(F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") == n)
-    if n == 1:  # the line with the number of variables looks like a row
-        rows = rows.where(F.get("f", F.lit(0)) != str(n))
+    # the head is the first lines of the file's first split
+    line = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = spark.read.text(path).select("value", line.alias("line"), F.col("_metadata.file_block_start").alias("start")).where((F.col("start") > 0) | (F.col("line") >= 2 + n))
+    rows = rows.where(F.trim("value").rlike(r"^[-+.\d]")).select(F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") == n)
     return rows.select([F.get("f", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(names)])
 
 

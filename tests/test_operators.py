@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import blanks
 from tessera.operators import aggregates, arrays, frame, intervals, search, spatial
-from tessera.plans import flow, overlay
+from tessera.plans import flow, overlay, rowlang
 from tessera.sources import binary, text
 
 
@@ -214,3 +214,54 @@ def test_point_queries_without_sql_take_all_customers(spark):
     sf = "/root/testdata/sf0.01"
     n = spark.read.parquet(f"{sf}/customer.parquet").count()
     assert n > 601 and extras.normal_scores(spark, sf).count() == n == extras.cluster_by_density(spark, sf).count()
+
+
+def test_interval_lookup_without_and_with_a_key(spark):
+    df = spark.createDataFrame([(1, "a", 5.0), (2, "a", 10.0), (3, "b", 25.0), (4, "b", None), (5, "c", 1.0), (6, None, 12.0)], "id int, hole string, depth double")
+    ref = spark.createDataFrame([("a", 0.0, 10.0, "x"), ("a", 10.0, 20.0, "y"), ("b", 20.0, 30.0, "z"), (None, 11.0, 13.0, "n")], "hole string, `from` double, `to` double, code string")
+    get = lambda text: {r["id"]: r["c"] for r in rowlang.Transform(text).run(df, {"d": ref}, order=["id"]).collect()}
+    assert get("c = lookup d.code where d.hole == hole and d.from <= depth < d.to") == {1: "x", 2: "y", 3: "z", 4: None, 5: None, 6: "n"}
+    assert get("c = lookup d.code where d.from <= depth < d.to") == {1: "x", 2: "y", 3: "z", 4: None, 5: "x", 6: "n"}
+
+
+def test_overlap_join_without_a_key(spark):
+    import random
+
+    r = random.Random(3)
+    mine = [(i, float(a), a + r.choice([0.0, 1.0, 7.5, 100.0])) for i in range(40) for a in [r.randrange(-50, 200)]] + [(99, None, 1.0)]
+    theirs = [(float(a), a + r.choice([0.5, 3.0, 60.0]), r.random()) for _ in range(50) for a in [r.randrange(-50, 200)]]
+    df, ref = spark.createDataFrame(mine, "id int, f double, t double"), spark.createDataFrame(theirs, "`from` double, `to` double, v double")
+    out = rowlang.Transform("n = count() where overlap(a.from, a.to, f, t)\ns = sum(a.v) where overlap(a.from, a.to, f, t)").run(df, {"a": ref}, order=["id"]).collect()
+    assert len(out) == len(mine)
+    for row in out:
+        hit = [v for lo, hi, v in theirs if row["f"] is not None and lo < row["t"] and hi > row["f"]]
+        assert row["n"] == len(hit) and (row["s"] or 0) == pytest.approx(sum(hit))
+
+
+def test_geoeas_of_one_variable_and_quoted_line_breaks(spark, tmp_path):
+    from tessera.sources import text
+
+    (tmp_path / "one.dat").write_text("title\n1\ngrade\n3\n1\n5\n1\n")
+    assert [r[0] for r in text.read_geoeas(spark, str(tmp_path / "one.dat")).collect()] == [3, 1, 5, 1]
+    (tmp_path / "q.csv").write_text('id,note\n1,"x\ny"\n2,"a ""b"""\n')
+    assert [tuple(r) for r in text.read_csv(spark, str(tmp_path / "q.csv")).collect()] == [(1.0, "x\ny"), (2.0, 'a "b"')]
+    (tmp_path / "t.csv").write_text("a,b\n" + "1,2\n" * 300 + "x,2\n" * 300)
+    assert dict(text.read_csv(spark, str(tmp_path / "t.csv")).dtypes) == {"a": "string", "b": "double"}
+
+
+def test_search_terms(spark):
+    from tessera.operators import search
+
+    rows = spark.createDataFrame([("Don't 'quote' from you Ångström's café, naïve Über 東京 x",)], "t string").select(search.tokens(F.col("t")).alias("t")).first()[0]
+    assert rows == ["don't", "quote", "angstrom's", "cafe", "naive", "uber", "東京"]
+
+
+def test_search_expands_terms_that_the_index_lacks(spark):
+    from tessera.operators import search
+
+    docs = spark.createDataFrame([(1, "encryption keys"), (2, "sondage drilling"), (3, "borehole drilling")], "id int, body string")
+    index = search.Index.build(docs, "id", {"body": 1.0})
+    ask = lambda text, **o: [r["doc"] for r in index.search(spark.createDataFrame([(0, text)], "q0 int, text string"), "q0", "text", **o).orderBy("rank").collect()]
+    assert ask("encryp") == [] and ask("encryp", prefix=True) == [1]
+    assert ask("borehloe", fuzzy=2) == [3] and ask("kesy", fuzzy=2) == []
+    assert ask("well", synonyms={"well": ["borehole"]}) == [3]
