@@ -1,7 +1,5 @@
 """Streams over the events table, read as a file source."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..registry import query, table
@@ -14,7 +12,15 @@ def stream(spark, d):
 
 
 def ended(stream, mode="append"):
-    return S.run_to_end(stream, f"t{uuid.uuid4().hex}", mode)
+    return S.run_to_end(stream, mode)
+
+
+def stepped(spark, d, step, start, state, out):
+    """Events of each user in the order of time."""
+    return ended(S.stateful(stream(spark, d), "user_id", step, start, state, f"user_id long, event_id long, {out}", ["ts", "event_id"]))
+
+
+W = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -30,19 +36,29 @@ def session_windows(spark, d):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query()
+@query(f"SELECT user_id, event_id, row_number() OVER w AS count FROM (SELECT * FROM events {W} QUALIFY value > 50 AND NOT coalesce(lag(value > 50) OVER w, false)) {W}")
 def stream_edge_counter(spark, d):
-    return ended(S.stateful(stream(spark, d), "user_id", S.edge_step(50.0), (0, False), "n long, high boolean", "user_id long, event_id long, count long"))
+    return stepped(spark, d, S.edge_step(50.0), (0, False), "n long, high boolean", "count long")
 
 
-@query()
+@query(f"WITH a AS (SELECT *, coalesce(last_value(CASE WHEN value >= 80 THEN true WHEN value <= 20 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS alarm FROM events) SELECT user_id, event_id, alarm FROM a {W} QUALIFY alarm <> coalesce(lag(alarm) OVER w, false)")
 def stream_alarm(spark, d):
-    return ended(S.stateful(stream(spark, d), "user_id", S.alarm_step(80.0, 20.0), (False,), "on boolean", "user_id long, event_id long, alarm boolean"))
+    return stepped(spark, d, S.alarm_step(80.0, 20.0), (False,), "on boolean", "alarm boolean")
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT event_id, user_id, i, greatest(-5.0::double, least(5.0::double, value)) AS v FROM e WHERE i = 1 UNION ALL SELECT e.event_id, e.user_id, e.i, r.v + greatest(-5.0::double, least(5.0::double, e.value - r.v)) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, event_id, round(v, 6) AS value FROM r")
 def stream_slew(spark, d):
-    return ended(S.stateful(stream(spark, d), "user_id", S.slew_step(5.0), (0.0,), "held double", "user_id long, event_id long, value double"))
+    return stepped(spark, d, S.slew_step(5.0), (0.0,), "held double", "value double").withColumn("value", F.round("value", 6))
+
+
+@query(f"SELECT user_id, event_id, round(0.5 * (50 - value) + 0.1 * sum(50 - value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 0.2 * ((50 - value) - coalesce(lag(50 - value) OVER w, 0)), 4) AS answer FROM events {W}")
+def stream_pid(spark, d):
+    return stepped(spark, d, S.pid_step(50.0, 0.5, 0.1, 0.2), (0.0, 0.0), "total double, last double", "answer double").withColumn("answer", F.round("answer", 4))
+
+
+@query(f"WITH m AS (SELECT *, sum((NOT value > 50)::int) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events) SELECT user_id, event_id, value > 50 AND sum((value > 50)::int) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 3 AS running FROM m")
+def stream_timer(spark, d):
+    return stepped(spark, d, S.timer_step(3), (0,), "held long", "running boolean")
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")

@@ -141,15 +141,20 @@ def read_las(spark: SparkSession, path: str, columns: Sequence[str] = ("x", "y",
 
 
 def parquet_statistics(spark: SparkSession, path: str) -> DataFrame:
-    """Row groups of each file with rows, nulls and extremes by column, from the footers."""
+    """Row groups of each file with rows, nulls and extremes by column, from the footers, which alone are read: files are opened where ``pyarrow`` knows their store, elsewhere they are read whole."""
     schema = "file string, row_group int, column string, rows long, nulls long, low string, high string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
         for f in frames:
-            for name, raw in zip(f["path"], f["content"]):
-                meta, rows = pq.ParquetFile(io.BytesIO(raw)).metadata, []
+            for i, name in enumerate(f["path"]):
+                if whole:
+                    meta, rows = pq.read_metadata(io.BytesIO(f["content"][i])), []
+                else:
+                    store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                    meta, rows = pq.read_metadata(place, filesystem=store), []
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
                     for k in range(group.num_columns):
@@ -158,4 +163,6 @@ def parquet_statistics(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((name, g, c.path_in_schema, group.num_rows, s.null_count if s else None, str(s.min) if s and s.has_min_max else None, str(s.max) if s and s.has_min_max else None))
                 yield pd.DataFrame(rows, columns=["file", "row_group", "column", "rows", "nulls", "low", "high"])
 
-    return files(spark, path).select("path", "content").mapInPandas(run, schema)
+    found = files(spark, path)
+    whole = not re.match("(file|s3|gs|hdfs):", found.select("path").first()[0])
+    return found.select("path", *(["content"] if whole else [])).mapInPandas(run, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import folder
+
 
 def windowed(events: DataFrame, time: str, width: str, late: str, keys: list[str], *aggregates) -> DataFrame:
     """Tumbling windows; what is later than ``late`` is dropped. The same plan runs on a table and on a stream."""
@@ -22,12 +25,14 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, keys: list[str],
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(*aggregates).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *_names(aggregates))
 
 
-def stateful(events: DataFrame, key: str, step, start: tuple, state: str, out: str) -> DataFrame:
-    """``step(state, row) -> (state, output or None)`` over the rows of each key in the order that they come."""
+def stateful(events: DataFrame, key: str, step, start: tuple, state: str, out: str, order: list[str] | None = None) -> DataFrame:
+    """``step(state, row) -> (state, output or None)`` over the rows of each key: batch by batch and, in a batch, by ``order`` (else as they come)."""
 
     def run(k, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else start
         rows = []
+        if order:
+            frames = [pd.concat(list(frames)).sort_values(order)]
         for f in frames:
             for r in f.itertuples(index=False):
                 now, made = step(now, r)
@@ -83,6 +88,8 @@ def slew_step(rate: float):
 
 
 def pid_step(target: float, kp: float, ki: float, kd: float):
+    """Proportional, integral and derivative answer to what is missing to ``target``."""
+
     def step(now, row):
         total, before = (float(x) for x in now)
         e = target - row.value
@@ -102,8 +109,14 @@ def timer_step(delay: int):
     return step
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything that a finite stream gives, as a table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything that a finite stream gives, written by the executors below the shared folder: what batches append, or the last complete result."""
+    spark = stream.sparkSession
+    path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", f"{path}/rows")
+    else:
+        out = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows"))
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
