@@ -30,11 +30,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
-    """Bytes of every document that lie in a 200-byte string found elsewhere too; the table's files come in as batches."""
+    """Bytes of every document that lie in a 200-byte string found elsewhere too; the table's files come in as batches, or rows of it by a hash of their id if there are too few files."""
     docs = table(spark, sf_dir, "documents")
     files = sorted(docs.inputFiles())
-    parts = [spark.read.schema(docs.schema).parquet(*files[k::batches]) for k in range(min(batches, len(files)))]
-    family = suffixes.family_of(parts or [docs])
+    if len(files) >= batches:
+        parts = [spark.read.schema(docs.schema).parquet(*files[k::batches]) for k in range(batches)]
+    else:
+        parts = [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k) for k in range(batches)]
+    family = suffixes.family_of(parts)
     return suffixes.cut(docs, suffixes.compare(docs, family), texts=False)
 
 
