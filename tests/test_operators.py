@@ -216,6 +216,16 @@ def test_point_queries_without_sql_take_all_customers(spark):
     assert n > 601 and extras.normal_scores(spark, sf).count() == n == extras.cluster_by_density(spark, sf).count()
 
 
+def test_components_of_a_long_chain_and_a_star(spark):
+    import random
+
+    chain = list(range(1000, 1300))
+    random.Random(1).shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *((7, k) for k in range(8, 60)), (5, 5)]
+    found = {r["a"]: r["l"] for r in spatial.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{c: 1000 for c in chain}, **{k: 7 for k in range(7, 60)}, 5: 5}
+
+
 def test_interval_lookup_without_and_with_a_key(spark):
     df = spark.createDataFrame([(1, "a", 5.0), (2, "a", 10.0), (3, "b", 25.0), (4, "b", None), (5, "c", 1.0), (6, None, 12.0)], "id int, hole string, depth double")
     ref = spark.createDataFrame([("a", 0.0, 10.0, "x"), ("a", 10.0, 20.0, "y"), ("b", 20.0, 30.0, "z"), (None, 11.0, 13.0, "n")], "hole string, `from` double, `to` double, code string")
