@@ -249,6 +249,10 @@ def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str =
         by = by.join(hot, "k", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     differ = F.bit_count(F.col("a_q").bitwiseXOR(F.col("a_l"))) + F.bit_count(F.col("b_q").bitwiseXOR(F.col("b_l")))
     same = [by[c] == of[c] for c in (["k", "part"] if common else ["k"])]
+    # corners that agree in several tables meet in the first of them only
+    a, b, low = F.col("a_q").bitwiseXOR(F.col("a_l")), F.col("b_q").bitwiseXOR(F.col("b_l")), 0xFFFFFFFF
+    first = F.when(F.shiftrightunsigned(a, 32) == 0, 0).when(a.bitwiseAND(low) == 0, 1).when(F.shiftrightunsigned(b, 32) == 0, 2).otherwise(3)
+    same.append(F.shiftright(by["k"], 32) == first)
     # a match is one number, its two places; pairs of pictures with too few matches for a link end here, before any geometry
     match = (F.col("i_q") * PLACES + F.col("i_l")).alias("m")
     pairs = by.join(of, [*same, differ <= MOST_BITS]).select("q", "l", match).groupBy("q", "l").agg(F.collect_set("m").alias("all"))
