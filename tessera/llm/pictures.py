@@ -257,9 +257,13 @@ def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str =
     match = (F.col("i_q") * PLACES + F.col("i_l")).alias("m")
     pairs = by.join(of, [*same, differ <= MOST_BITS]).select("q", "l", match).groupBy("q", "l").agg(F.collect_set("m").alias("all"))
     pairs = pairs.where(F.size(F.array_distinct(F.transform("all", lambda m: F.floor(m / PLACES)))) >= LEAST_VOTES)
-    pairs = pairs.join(asked.select(F.col("__id").alias("q"), F.col("corners").alias("cq")), "q").join(firsts.select(F.col("__id").alias("l"), F.col("corners").alias("cl")), "l")
-    corner = lambda c, i: F.get(c, i.cast("int"))
-    met = pairs.select("q", "l", F.explode(F.transform("all", lambda m: F.struct(F.floor(m / PLACES).alias("i"), corner("cq", F.floor(m / PLACES)).alias("qc"), corner("cl", F.pmod(m, F.lit(PLACES))).alias("lc")))).alias("m")).select("q", "l", "m.*")
+    # only matched corners, without their bits, go on: a pair would else carry all corners of both pictures
+    place = lambda c, *names: F.struct(*[c[n].alias(n) for n in names])
+    known = F.transform("all", lambda m: F.struct(F.floor(m / PLACES).alias("i"), F.pmod(m, F.lit(PLACES)).alias("j"), place(F.get(F.col("cq"), F.floor(m / PLACES).cast("int")), "x", "y", "scale", "turn").alias("qc")))
+    pairs = pairs.join(asked.select(F.col("__id").alias("q"), F.col("corners").alias("cq")), "q").select("q", "l", known.alias("all"))
+    pairs = pairs.join(firsts.select(F.col("__id").alias("l"), F.col("corners").alias("cl")), "l")
+    both = F.transform("all", lambda m: F.struct(m["i"].alias("i"), m["qc"].alias("qc"), place(F.get(F.col("cl"), m["j"].cast("int")), "x", "y", "scale", "turn").alias("lc")))
+    met = pairs.select("q", "l", F.explode(both).alias("m")).select("q", "l", "m.*")
     turn = F.pmod(F.col("lc.turn") - F.col("qc.turn"), F.lit(TURNS))
     scales = F.array(*map(F.lit, SCALES))
     ratio = F.get(scales, F.col("qc.scale")) / F.get(scales, F.col("lc.scale"))
