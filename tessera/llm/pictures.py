@@ -9,9 +9,9 @@ in the other, and pictures are linked if enough matches agree on turn, scale and
 
 Corners are the strongest of each tile, so a large picture has more, and a small crop of it finds its own among them.
 
-Scale: pictures with equal pixels are one picture, by digest, before any join. A table entry that more than ``HOT`` pictures'
-corners share is dealt into parts: each of the library's corners goes to one, each of the queries' to all, so every pair
-still meets once.
+Scale: pictures with equal pixels are one picture, by digest, before any search. The queries' tables are written in blocks of sorted
+arrays that workers map; each task reads its part of the library once and takes it through every block, so matches and votes are
+counted where they are found and only links are written. Pairs that share a common entry are compared ``HOT`` at a time, all of them.
 
 Reads PGM, PPM and PNG (8 bits, not interlaced). Defined cases: a null, empty or unreadable picture, or one too small for
 a patch, has no corners and no links (JPEG and palette PNG are not read); of keys that repeat, one row's pixels are shown; repeated rows belong to one picture; an empty table gives an empty result.
@@ -20,27 +20,29 @@ a patch, has no corners and no links (JPEG and palette PNG are not read); of key
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, shared_path
+from .kneser_ney import mounted, save
 
 #: Corners of a tile of a picture, the strongest first; scales of its pyramid; half a patch; side of a tile, in pixels.
 CORNERS, SCALES, RADIUS, TILE = 40, (1.0, 0.6), 9, 96
 TURNS, TESTS, TABLES = 32, 128, 4
-#: Bits that a match may differ in; matches that must agree; library corners that share a table entry before it is split.
-MOST_BITS, LEAST_VOTES, HOT = 14, 5, 1000
-#: Common entries that are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 10_000
-#: Corners that a picture may have, so that a match is one number.
-PLACES = 1 << 24
+#: Bits that a match may differ in; matches that must agree; pairs of corners that are compared at a time.
+MOST_BITS, LEAST_VOTES, HOT = 14, 5, 1 << 18
+#: Corners of the queries in a block of their tables; corners of the library that are looked up together.
+BLOCK, CORNERS_AT_ONCE = 1 << 15, 1 << 12
 #: Side of a bin of shifts, in pixels.
 BIN = 12.0
 
@@ -227,56 +229,161 @@ def described(pictures: DataFrame, key: str, image: str) -> DataFrame:
 
 
 def entries(pictures: DataFrame, name: str) -> DataFrame:
-    """One row for each corner and table: picture, place ``i``, the descriptor and the table entry ``k``."""
+    """One row for each corner and table: picture, place ``i``, the corner with its descriptor and the table entry ``k``."""
     words = [F.shiftrightunsigned("c.a", 32), F.col("c.a").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("c.b", 32), F.col("c.b").bitwiseAND(0xFFFFFFFF)]
     rows = pictures.select(F.col("__id").alias(name), F.posexplode("corners").alias(f"i_{name}", "c"))
-    return rows.select(name, F.col(f"i_{name}").cast("long").alias(f"i_{name}"), F.col("c.a").alias(f"a_{name}"), F.col("c.b").alias(f"b_{name}"), F.explode(F.array(*[w + F.lit(t << 32) for t, w in enumerate(words)])).alias("k"))
+    corner = [F.col(f"c.{c}").alias(f"{c}_{name}") for c in ("x", "y", "scale", "turn", "a", "b")]
+    return rows.select(name, F.col(f"i_{name}").cast("long").alias(f"i_{name}"), *corner, F.explode(F.array(*[w + F.lit(t << 32) for t, w in enumerate(words)])).alias("k"))
+
+
+def index(asked: DataFrame, path: str) -> int:
+    """Writes the tables of the queries' corners to ``path``, in blocks of sorted arrays; returns the number of blocks."""
+    os.makedirs(path, exist_ok=True)
+    count = max(1, -(-(asked.agg(F.sum(F.size("corners"))).first()[0] or 0) // BLOCK))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        pdf = pdf.sort_values(["q", "i_q", "k"])
+        k = pdf["k"].to_numpy().astype(np.uint64)
+        order = np.argsort(k)
+        k = k[order]
+        new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        own = pdf.iloc[::TABLES]
+        rows, picture = np.unique(own["q"].to_numpy(), return_inverse=True)
+        arrays = {"entries": k[new], "starts": np.append(new, len(k)), "corners": (order // TABLES).astype(np.int32), "rows": rows, "picture": picture.astype(np.int32), "i": own["i_q"].to_numpy()}
+        arrays |= {c: own[f"{c}_q"].to_numpy() for c in ("x", "y", "scale", "turn")} | {c: own[f"{c}_q"].to_numpy().view(np.uint64) for c in ("a", "b")}
+        for name, array in arrays.items():
+            save(path, f"{block}-{name}", array)
+        return pd.DataFrame({"block": [block]})
+
+    entries(asked, "q").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(count))).groupBy("block").applyInPandas(run, "block long").collect()
+    return count
+
+
+_BLOCKS: dict[str, dict[str, np.ndarray] | None] = {}
+
+
+def opened(path: str, block: int) -> dict[str, np.ndarray] | None:
+    """The mapped arrays of a block, or None if no corner fell to it."""
+    name = f"{path}/{block}"
+    if name not in _BLOCKS:
+        if not any(x.startswith(path) for x in _BLOCKS):
+            _BLOCKS.clear()
+        names = ("entries", "starts", "corners", "rows", "picture", "i", "x", "y", "scale", "turn", "a", "b")
+        _BLOCKS[name] = {n: np.load(f"{name}-{n}.npy", mmap_mode="r") for n in names} if os.path.exists(f"{name}-entries.npy") else None
+    return _BLOCKS[name]
+
+
+def matches(q: dict[str, np.ndarray], lib: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the corners of a block and of ``lib`` that share a table entry and differ in few bits, each pair once; ``most`` are compared at a time."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    a, b, low = lib["a"], lib["b"], np.uint64(0xFFFFFFFF)
+    for t, word in enumerate((a >> np.uint64(32), a & low, b >> np.uint64(32), b & low)):
+        key = word | np.uint64(t << 32)
+        at = np.minimum(np.searchsorted(q["entries"], key), len(q["entries"]) - 1)
+        own = np.flatnonzero(q["entries"][at] == key)
+        first, n = q["starts"][at[own]], q["starts"][at[own] + 1] - q["starts"][at[own]]
+        end = np.cumsum(n)
+        for start in range(0, int(end[-1]) if len(end) else 0, most):
+            stop = min(start + most, int(end[-1]))
+            e = slice(np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left") + 1)
+            size = np.minimum(end[e], stop) - np.maximum(end[e] - n[e], start)
+            j = np.repeat(own[e], size)
+            i = q["corners"][np.repeat(first[e] - (end[e] - n[e]), size) + np.arange(start, stop)]
+            x, y = q["a"][i] ^ a[j], q["b"][i] ^ b[j]
+            near = np.bitwise_count(x) + np.bitwise_count(y) <= MOST_BITS
+            # corners that agree in several tables meet in the first of them only
+            for word in (x >> np.uint64(32), x & low, y >> np.uint64(32))[:t]:
+                near &= word != 0
+            found.append((i[near], j[near]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
+
+
+def frequent(key: np.ndarray, least: int) -> np.ndarray:
+    """False only for keys that occur less often than ``least`` times."""
+    bits = max(10, len(key).bit_length() + 2)
+    slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.bincount(slot, minlength=1 << bits)[slot] >= least
+
+
+def votes(q: dict[str, np.ndarray], lib: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of matched corners, the pairs of pictures (of the block, of ``lib``) in which enough corners of a query agree on turn, scale and shift, and how many do."""
+    width = len(q["rows"])
+    pair = lib["picture"][j] * width + q["picture"][i]
+    some = np.bincount(pair)[pair] >= LEAST_VOTES if len(pair) else np.zeros(0, dtype=bool)
+    i, j, pair = i[some], j[some], pair[some]
+    scales = np.array(SCALES)
+    turn = (lib["turn"][j].astype(np.int64) - q["turn"][i]) % TURNS
+    ratio = scales[q["scale"][i]] / scales[lib["scale"][j]]
+    kinds, kind = np.unique(np.round(scales[:, None] / scales[None, :], 3), return_inverse=True)
+    kind = kind.reshape(len(scales), -1)[q["scale"][i], lib["scale"][j]]
+    angle = np.arange(TURNS) * (2 * np.pi / TURNS)
+    cos, sin = np.cos(angle)[turn], np.sin(angle)[turn]
+    x, y = q["x"][i], q["y"][i]
+    dx = (lib["x"][j] - ratio * (cos * x - sin * y)) / BIN
+    dy = (lib["y"][j] - ratio * (sin * x + cos * y)) / BIN
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for o, h, v in [(o, h, v) for o in (0, 2) for h in (0.0, 0.5) for v in (0.0, 0.5)]:
+        # 16 bits for each shift, four for the turn
+        key = (((pair * len(kinds) + kind) * 16 + (turn + o) // 4 << 16) + (np.floor(dx + h).astype(np.int64) & 0xFFFF) << 16) + (np.floor(dy + v).astype(np.int64) & 0xFFFF)
+        often = np.flatnonzero(frequent(key, LEAST_VOTES))
+        key, corner, own = key[often], i[often], pair[often]
+        order = np.lexsort((corner, key))
+        key, corner, own = key[order], corner[order], own[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (corner[1:] != corner[:-1])
+        key, own = key[fresh], own[fresh]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+        n = np.diff(np.append(new, len(key)))
+        found.append((own[new[n >= LEAST_VOTES]], n[n >= LEAST_VOTES]))
+    pair, n = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((-n, pair))
+    pair, n = pair[order], n[order]
+    new = np.concatenate(([True], pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, dtype=bool)
+    return pair[new] % width, pair[new] // width, n[new]
+
+
+def links(library: DataFrame, path: str, count: int) -> DataFrame:
+    """``q, l, v``: each picture of the index and each of ``library`` that are copies, and the votes. Matches stay in the task that finds them."""
+    most = HOT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(1)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+            end = np.cumsum(sizes)
+            values = column.flatten()
+            at = 0
+            while at < b.num_rows:
+                # at least a picture, or as many as have some thousand corners
+                stop = max(at + 1, int(np.searchsorted(end, end[at] - sizes[at] + CORNERS_AT_ONCE, "right")))
+                first = int(end[at] - sizes[at])
+                own = values.slice(first, int(end[stop - 1]) - first)
+                lib = {c: np.asarray(own.field(c)) for c in ("x", "y", "scale", "turn")} | {c: np.asarray(own.field(c)).view(np.uint64) for c in ("a", "b")}
+                lib["picture"] = np.repeat(np.arange(stop - at), sizes[at:stop])
+                for block in range(count):
+                    if len(own) and (q := opened(path, block)):
+                        picture, l, n = votes(q, lib, *matches(q, lib, most))
+                        if len(n):
+                            yield pa.RecordBatch.from_arrays([pa.array(q["rows"][picture]), b.column(0).take(pa.array(l + at)), pa.array(n)], names=["q", "l", "v"])
+                at = stop
+
+    return library.select("__id", "corners").mapInArrow(run, f"q long, l {library.schema['__id'].dataType.simpleString()}, v long")
 
 
 def search(queries: DataFrame, library: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
     """For each row of ``queries``: its key, ``n_corners``, ``n_links`` (different pictures of ``library`` that it is a copy of), and of the best ``best_id`` (the least key with those pixels), ``best_votes`` and ``best_members`` (rows with those pixels)."""
     shown = keep(described(library, key, image), "pictures")
-    asked = keep(described(queries, key, image), "queries")
+    asked = keep(described(queries, key, image).withColumn("__row", F.monotonically_increasing_id()), "queries")
     classes = shown.groupBy("digest").agg(F.min("__id").alias("__class"), F.count(F.lit(1)).alias("members"))
     firsts = keep(shown.join(classes.select(F.col("__class").alias("__id"), "members"), "__id").dropDuplicates(["__id"]), "firsts")
-    of, by = entries(firsts, "l"), entries(asked, "q")
-    hot = keep(of.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("parts")).where("parts > 1"), "common-entries")
-    common = hot.count()
-    if common:
-        hot = F.broadcast(hot) if common <= MOST_BROADCAST else hot
-        parts = F.coalesce("parts", F.lit(1))
-        of = of.join(hot, "k", "left").withColumn("part", F.pmod(F.xxhash64("l", "i_l"), parts)).drop("parts")
-        by = by.join(hot, "k", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    differ = F.bit_count(F.col("a_q").bitwiseXOR(F.col("a_l"))) + F.bit_count(F.col("b_q").bitwiseXOR(F.col("b_l")))
-    same = [by[c] == of[c] for c in (["k", "part"] if common else ["k"])]
-    # corners that agree in several tables meet in the first of them only
-    a, b, low = F.col("a_q").bitwiseXOR(F.col("a_l")), F.col("b_q").bitwiseXOR(F.col("b_l")), 0xFFFFFFFF
-    first = F.when(F.shiftrightunsigned(a, 32) == 0, 0).when(a.bitwiseAND(low) == 0, 1).when(F.shiftrightunsigned(b, 32) == 0, 2).otherwise(3)
-    same.append(F.shiftright(by["k"], 32) == first)
-    # a match is one number, its two places; pairs of pictures with too few matches for a link end here, before any geometry
-    match = (F.col("i_q") * PLACES + F.col("i_l")).alias("m")
-    pairs = by.join(of, [*same, differ <= MOST_BITS]).select("q", "l", match).groupBy("q", "l").agg(F.collect_set("m").alias("all"))
-    pairs = pairs.where(F.size(F.array_distinct(F.transform("all", lambda m: F.floor(m / PLACES)))) >= LEAST_VOTES)
-    # only matched corners, without their bits, go on: a pair would else carry all corners of both pictures
-    place = lambda c, *names: F.struct(*[c[n].alias(n) for n in names])
-    known = F.transform("all", lambda m: F.struct(F.floor(m / PLACES).alias("i"), F.pmod(m, F.lit(PLACES)).alias("j"), place(F.get(F.col("cq"), F.floor(m / PLACES).cast("int")), "x", "y", "scale", "turn").alias("qc")))
-    pairs = pairs.join(asked.select(F.col("__id").alias("q"), F.col("corners").alias("cq")), "q").select("q", "l", known.alias("all"))
-    pairs = pairs.join(firsts.select(F.col("__id").alias("l"), F.col("corners").alias("cl")), "l")
-    both = F.transform("all", lambda m: F.struct(m["i"].alias("i"), m["qc"].alias("qc"), place(F.get(F.col("cl"), m["j"].cast("int")), "x", "y", "scale", "turn").alias("lc")))
-    met = pairs.select("q", "l", F.explode(both).alias("m")).select("q", "l", "m.*")
-    turn = F.pmod(F.col("lc.turn") - F.col("qc.turn"), F.lit(TURNS))
-    scales = F.array(*map(F.lit, SCALES))
-    ratio = F.get(scales, F.col("qc.scale")) / F.get(scales, F.col("lc.scale"))
-    angle = turn * F.lit(2 * np.pi / TURNS)
-    dx = F.col("lc.x") - ratio * (F.cos(angle) * F.col("qc.x") - F.sin(angle) * F.col("qc.y"))
-    dy = F.col("lc.y") - ratio * (F.sin(angle) * F.col("qc.x") + F.cos(angle) * F.col("qc.y"))
-    bins = F.array(*[F.struct(F.floor((F.col("turn") + o) / 4).alias("r"), F.col("ratio").alias("s"), F.floor(F.col("dx") / BIN + h).alias("u"), F.floor(F.col("dy") / BIN + v).alias("w"), F.lit(k).alias("o")) for k, (o, h, v) in enumerate([(o, h, v) for o in (0, 2) for h in (0.0, 0.5) for v in (0.0, 0.5)])])
-    votes = met.select("q", "l", "i", turn.alias("turn"), F.round(ratio, 3).alias("ratio"), dx.alias("dx"), dy.alias("dy")).select("q", "i", "l", F.explode(bins).alias("bin"))
-    agreed = votes.groupBy("q", "l", "bin").agg(F.count_distinct("i").alias("v")).where(F.col("v") >= LEAST_VOTES).groupBy("q", "l").agg(F.max("v").alias("v"))
+    path = mounted(shared_path(shown.sparkSession, "corners"))
+    count = index(asked.select(F.col("__row").alias("__id"), "corners"), path)
+    agreed = links(firsts, path, count)
     best = agreed.groupBy("q").agg(F.count(F.lit(1)).alias("n_links"), F.min_by("l", F.struct(-F.col("v"), F.col("l"))).alias("best_id"), F.max("v").alias("best_votes"))
     best = best.join(classes.select(F.col("__class").alias("best_id"), F.col("members").alias("best_members")), "best_id", "left")
-    return asked.select(F.col("__id").alias("q"), F.size("corners").alias("n_corners")).join(best, "q", "left").select(
-        F.col("q").alias(key), F.col("n_corners").cast("long").alias("n_corners"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_id", "best_votes", "best_members"
+    return asked.select("__id", F.col("__row").alias("q"), F.size("corners").alias("n_corners")).join(best, "q", "left").select(
+        F.col("__id").alias(key), F.col("n_corners").cast("long").alias("n_corners"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_id", "best_votes", "best_members"
     )
 
 

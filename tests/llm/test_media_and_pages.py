@@ -227,3 +227,25 @@ def test_small_crops_of_large_pictures_are_found(spark):
     library = spark.createDataFrame([(i, pictures.pgm(b)) for i, b in enumerate(base)], schema)
     asked = spark.createDataFrame([(i, pictures.pgm(b[170:330, 150:310])) for i, b in enumerate(base)], schema)
     assert [x["best_id"] for x in sorted(pictures.search(asked, library).collect())] == [0, 1, 2]
+
+
+def test_matches_are_all_pairs_that_share_an_entry_and_stay_in_their_task(spark, monkeypatch, tmp_path):
+    r = np.random.default_rng(4)
+    bits = r.integers(0, 2**63, (40, 2)).astype(np.uint64)
+    other = np.concatenate([bits, bits]) ^ (np.uint64(1) << r.integers(0, 64, (80, 2)).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, (80, 2)).astype(np.uint64))
+    other[:20, 0] = bits[0, 0]  # a common entry
+    signed = lambda x: [(0.0, 0.0, 0, 0, *v) for v in x.view(np.int64).tolist()]
+    asked = spark.createDataFrame([(7, signed(bits[:25])), (9, signed(bits[25:]))], "__id long, corners " + pictures.CORNER)
+    assert pictures.index(asked, str(tmp_path)) == 1
+    q = pictures.opened(str(tmp_path), 0)
+    words = lambda x: (x[:, :, None] >> np.array([32, 0], dtype=np.uint64) & np.uint64(0xFFFFFFFF)).reshape(len(x), 4)
+    share = (words(bits)[:, None] == words(other)[None]).any(axis=2)
+    near = np.bitwise_count(bits[:, None] ^ other[None]).sum(axis=2) <= pictures.MOST_BITS
+    for most in (3, 1 << 18):
+        i, j = pictures.matches(q, {"a": other[:, 0], "b": other[:, 1]}, most)
+        got = list(zip(np.asarray(q["rows"])[q["picture"][i]].tolist(), q["i"][i].tolist(), j.tolist()))
+        assert len(got) == len(set(got)) and set(got) == {(7, a, b) if a < 25 else (9, a - 25, b) for a, b in zip(*np.nonzero(share & near))}
+    images = [(i, pictures.pgm(pictures.painted(r.normal(0, 0.13, (1, 64)))[0])) for i in range(3)]
+    df = spark.createDataFrame(images, "id long, image binary")
+    plan = pictures.search(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "collect_set" not in plan  # neither corners nor matches are rows of a shuffle
