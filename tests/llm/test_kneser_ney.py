@@ -98,3 +98,18 @@ def test_large_counts_are_packed_whole():
     back, n = kneser_ney.unpack([b[2] for b in blobs] * 2, 2)
     assert (n == np.tile(counts, 2)).all() and all((x == np.tile(y, 2)).all() for x, y in zip(back, columns))
     assert kneser_ney.narrow(counts).dtype == np.uint64 and (kneser_ney.narrow(counts) == counts).all()
+
+
+def test_grams_take_few_bytes(spark, tmp_path):
+    r = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in np.minimum(r.zipf(1.3, 400), 9000)) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA).repartition(2)
+    kneser_ney.train(docs, path=str(tmp_path))
+    grams = {g for t in texts for w in [["", "", *words(t)]] for g in zip(w, w[1:], w[2:])}
+    assert sum(f.stat().st_size for f in tmp_path.iterdir()) < 64 * 3 * 1200 + 20 * len(grams)  # parts have heads
+    a = np.sort(r.integers(0, 1 << 20, 50_000).astype(np.uint64))
+    columns = [a, *r.integers(0, 1 << 20, (2, 50_000)).astype(np.uint64)]
+    ((_, _, blob),) = kneser_ney.pack(columns, np.ones(50_000, dtype=np.int64), 1, 3)
+    assert len(blob) < 8 * 50_000
+    back, n = kneser_ney.unpack([blob], 3)
+    assert all((x == y).all() for x, y in zip(back, columns)) and n.sum() == 50_000
