@@ -275,3 +275,25 @@ def test_search_expands_terms_that_the_index_lacks(spark):
     assert ask("encryp") == [] and ask("encryp", prefix=True) == [1]
     assert ask("borehloe", fuzzy=2) == [3] and ask("kesy", fuzzy=2) == []
     assert ask("well", synonyms={"well": ["borehole"]}) == [3]
+
+
+def test_density_clusters_against_all_pairs(spark):
+    import random
+
+    def plain(points, radius, least):
+        near = {a: [b for b, *q in points if sum((u - v) ** 2 for u, v in zip(p, q)) ** 0.5 <= radius] for a, *p in points}
+        core = {a for a in near if len(near[a]) >= least}
+        label = {a: a for a in core}
+        while any(label[b] < label[a] for a in core for b in near[a] if b in core):
+            label = {a: min(label[b] for b in near[a] if b in core) for a in core}
+        return {a: label.get(a, min((label[b] for b in near[a] if b in core), default=None)) for a in near}
+
+    r = random.Random(5)
+    blobs = [(i, r.choice([0.0, 9.0, 14.0]) + r.gauss(0, 1.1), r.choice([0.0, 5.0]) + r.gauss(0, 0.8)) for i in range(150)]
+    # two dense cells that only one pair of points joins, and two that lie just too far apart
+    grid = [(1000 + i, 100 + i % 10 * 0.06, 100 + i // 10 * 0.15) for i in range(40)]
+    joined = [*grid, *((k + 1000, x + 1.53, y) for k, x, y in grid), *((k + 2000, x, y + 1.55) for k, x, y in grid)]
+    for points, radius, least in ((blobs, 0.6, 4), (blobs, 0.3, 3), (joined, 1.0, 4)):
+        df = spark.createDataFrame([*points, (9001, None, 1.0), (9002, float("nan"), 1.0)], "id long, x double, y double")
+        found = {k["id"]: k["cluster"] for k in spatial.dbscan(df, "id", ["x", "y"], radius, least).collect()}
+        assert found == plain(points, radius, least) | {9001: None, 9002: None}
