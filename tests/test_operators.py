@@ -297,3 +297,17 @@ def test_density_clusters_against_all_pairs(spark):
         df = spark.createDataFrame([*points, (9001, None, 1.0), (9002, float("nan"), 1.0)], "id long, x double, y double")
         found = {k["id"]: k["cluster"] for k in spatial.dbscan(df, "id", ["x", "y"], radius, least).collect()}
         assert found == plain(points, radius, least) | {9001: None, 9002: None}
+
+
+def test_full_cells_of_a_distance_join_are_dealt_into_groups(spark, monkeypatch):
+    import random
+
+    r = random.Random(6)
+    rows = [(i, r.choice([0.5, r.uniform(-3, 3)]), r.choice([0.5, r.uniform(-3, 3)])) for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, None, 0.0)], "id long, x double, y double")
+    want = sorted((a, b) for a, *p in rows for b, *q in rows if abs(p[0] - q[0]) + abs(p[1] - q[1]) <= 0.7)
+    monkeypatch.setattr(spatial, "CHUNK", 16)
+    monkeypatch.setattr(spatial, "PAIRS", 5_000)
+    out = spatial.within(df, df, "id", ["x", "y"], 0.7, "cityblock")
+    assert sorted((p["a"], p["b"]) for p in out.collect()) == want
+    assert out.rdd.getNumPartitions() > 4
