@@ -545,12 +545,22 @@ class Plan:
         table, equal, _, overlap = shape(predicate)
         ref, out = self.reference(table), self.name()
         renamed = ref.select([F.col(f"`{c}`").alias(f"__r_{c}") for c in ref.columns])
-        on = [self.value(v).eqNullSafe(F.col(f"__r_{c}")) for c, v in equal]
+        here = any(x.kind == "field" and x.args[0] != "overlap" for a in args for x in walk(a))
+        asked: dict[str, Column] = {}
+
+        def mine(c: Column) -> Column:
+            """A value of this row; where pairs are needed it is a column of what is asked."""
+            if overlap is None and not here:
+                return c
+            asked[at := f"__q{len(asked)}"] = c
+            return F.col(at)
+
+        on = [mine(self.value(v)).eqNullSafe(F.col(f"__r_{c}")) for c, v in equal]
         extent = None
         if overlap is not None:
             lo, hi, start, end = overlap.args[1]
             lo, hi = F.col(f"__r_{lo.args[1]}"), F.col(f"__r_{hi.args[1]}")
-            start, end = self.value(start), self.value(end)
+            start, end = mine(self.value(start)), mine(self.value(end))
             on += [lo < end, hi > start]
             extent = F.greatest(F.lit(0.0), F.least(end, hi) - F.greatest(start, lo))
 
@@ -561,24 +571,23 @@ class Plan:
                 return extent
             if n.kind == "arithmetic":
                 return self.arithmetic(n.args[0], argument(n.args[1]), argument(n.args[2]))
-            return self.value(n)
+            return mine(self.value(n))
 
         v = [argument(a) for a in args]
-        here = any(x.kind == "field" and x.args[0] != "overlap" for a in args for x in walk(a))
         if overlap is None and not here:  # nothing of this row is asked for: one aggregate per key
             keys = [f"__r_{c}" for c, _ in equal]
             found = renamed.groupBy(*keys).agg(self.aggregate(name, v).alias(out))
             self.df = self.df.join(found, on, "left").drop(*keys)
         else:
-            rows = self.df.withColumn("__row", F.monotonically_increasing_id())
-            rows = keep(rows)
+            # rows that ask the same meet the others once
+            rows = self.df.withColumns(asked)
+            asks = keep(rows.select(*asked).distinct().withColumn("__row", F.monotonically_increasing_id()))
+            each = asks
             if extent is not None and not equal:
-                rows, renamed, on = self.binned(rows, renamed, (start, end), (lo, hi), on)
-                matched = rows.join(renamed, on).groupBy("__row").agg(self.aggregate(name, v).alias(out))
-                rows = rows.drop("__bin", "__first").dropDuplicates(["__row"])
-            else:
-                matched = rows.join(renamed, on).groupBy("__row").agg(self.aggregate(name, v).alias(out))
-            self.df = rows.join(matched, "__row", "left").drop("__row")
+                each, renamed, on = self.binned(asks, renamed, (start, end), (lo, hi), on)
+            matched = each.join(renamed, on).groupBy("__row").agg(self.aggregate(name, v).alias(out))
+            found = keep(asks.join(matched, "__row").select(*[F.col(q).alias(f"__f{q}") for q in asked], out))
+            self.df = rows.join(found, [F.col(q).eqNullSafe(F.col(f"__f{q}")) for q in asked], "left").drop(*asked, *[f"__f{q}" for q in asked])
         if name == "count":
             self.df = self.df.withColumn(out, F.coalesce(out, F.lit(0)))
         self.planned[node] = out

@@ -311,3 +311,18 @@ def test_full_cells_of_a_distance_join_are_dealt_into_groups(spark, monkeypatch)
     out = spatial.within(df, df, "id", ["x", "y"], 0.7, "cityblock")
     assert sorted((p["a"], p["b"]) for p in out.collect()) == want
     assert out.rdd.getNumPartitions() > 4
+
+
+def test_rows_that_ask_the_same_meet_the_others_once(spark, monkeypatch):
+    kept, keep = [], rowlang.keep
+    monkeypatch.setattr(rowlang, "keep", lambda df: kept.append(out := keep(df)) or out)
+    mine = [(i, "a" if i % 2 else None, float(i % 3), i % 3 + 2.0) for i in range(90)] + [(900, "b", None, 1.0), (901, "z", 0.0, 9.0)]
+    theirs = [("a", 0.0, 1.0, 5.0), ("a", 1.5, 4.0, 2.0), (None, 1.0, 2.5, 3.0), ("b", 0.0, 1.0, 1.0), ("a", 0.5, 0.75, None)]
+    df, ref = spark.createDataFrame(mine, "id int, h string, f double, t double"), spark.createDataFrame(theirs, "h string, `from` double, `to` double, v double")
+    text = "n = count() where a.h == h and overlap(a.from, a.to, f, t)\ns = wmean(a.v, overlap) where a.h == h and overlap(a.from, a.to, f, t)\nw = sum(a.v * f) where a.h == h and overlap(a.from, a.to, f, t)"
+    for row in rowlang.Transform(text).run(df, {"a": ref}, order=["id"]).collect():
+        hit = [(v, min(hi, row["t"]) - max(lo, row["f"])) for h, lo, hi, v in theirs if row["f"] is not None and h == row["h"] and lo < row["t"] and hi > row["f"]]
+        some = [(v, o) for v, o in hit if v is not None]
+        assert row["n"] == len(hit) and row["s"] == (pytest.approx(sum(v * o for v, o in some) / sum(o for _, o in some)) if some else None)
+        assert row["w"] == (pytest.approx(sum(v * row["f"] for v, _ in some)) if some else None)
+    assert max(k.count() for k in kept) == 8
