@@ -214,16 +214,16 @@ def decluster(df: DataFrame, coordinates: Sequence[str], key: str, size: float,
 
 
 def variogram(df: DataFrame, key: str, coordinates: Sequence[str], value: str, lag: float, lags: int) -> DataFrame:
-    """Semivariance by lag class. Pairs are formed only between neighbouring cells as wide as the longest lag."""
+    """Semivariance by lag class. Pairs are formed only between neighbouring cells as wide as the longest lag, and summed where they are formed."""
+    from .spatial import meet
+
     reach = lag * lags
-    cells = [F.floor(F.col(c) / reach).cast("long").alias(f"c{i}") for i, c in enumerate(coordinates)]
-    a = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(coordinates)], *cells)
-    b = a.select(*[F.col(c).alias(f"{c}_b") for c in a.columns])
-    for i in range(len(coordinates)):
-        a = a.withColumn(f"c{i}", F.explode(F.array(*[F.col(f"c{i}") + k for k in (-1, 0, 1)])))
-    on = [F.col(f"c{i}") == F.col(f"c{i}_b") for i in range(len(coordinates))] + [F.col("k") < F.col("k_b")]
-    h = F.sqrt(sum(((F.col(f"x{i}") - F.col(f"x{i}_b")) ** 2 for i in range(len(coordinates))), F.lit(0.0)))
-    pairs = a.join(b, on).select(h.alias("h"), ((F.col("v") - F.col("v_b")) ** 2).alias("d")).where((F.col("h") > 0) & (F.col("h") < reach))
+    x, y = ([f"{p}{i}" for i in range(len(coordinates))] for p in "xy")
+    a = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"), *[F.col(c).alias(o) for c, o in zip(coordinates, x)])
+    b = a.select(F.col("k").alias("k_b"), F.col("v").alias("v_b"), *[F.col(c).alias(o) for c, o in zip(x, y)])
+    h = F.sqrt(sum(((F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(x, y)), F.lit(0.0)))
+    on = (F.col("k") < F.col("k_b")) & (h > 0) & (h < reach)
+    pairs = meet(a, b, x, y, reach, on).select(h.alias("h"), ((F.col("v") - F.col("v_b")) * (F.col("v") - F.col("v_b"))).alias("d"))
     return pairs.groupBy(F.floor(F.col("h") / lag).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("pairs"), F.avg("h").alias("distance"), (F.avg("d") / 2).alias("gamma"))
 
 

@@ -326,3 +326,27 @@ def test_rows_that_ask_the_same_meet_the_others_once(spark, monkeypatch):
         assert row["n"] == len(hit) and row["s"] == (pytest.approx(sum(v * o for v, o in some) / sum(o for _, o in some)) if some else None)
         assert row["w"] == (pytest.approx(sum(v * row["f"] for v, _ in some)) if some else None)
     assert max(k.count() for k in kept) == 8
+
+
+def test_variogram_of_full_cells_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from tessera.operators import aggregates
+
+    r = random.Random(8)
+    rows = [(i // 2, r.choice([1.0, r.uniform(0, 9)]), r.choice([2.0, r.uniform(-4, 4)]), r.gauss(0, 1)) for i in range(200)] + [(500, 1.0, None, 1.0), (501, 1.0, 1.0, None)]
+    met, meet = [], spatial.meet
+    monkeypatch.setattr(spatial, "meet", lambda *a: met.append(out := meet(*a)) or out)
+    monkeypatch.setattr(spatial, "CHUNK", 16)
+    monkeypatch.setattr(spatial, "PAIRS", 5_000)
+    got = {x["class"]: x for x in aggregates.variogram(spark.createDataFrame(rows, "id int, x double, y double, v double"), "id", ["x", "y"], "v", 1.0, 3).collect()}
+    want = {}
+    for a, ax, ay, av in rows[:200]:
+        for b, bx, by, bv in rows[:200]:
+            h = ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5
+            if a < b and 0 < h < 3:
+                want.setdefault(int(h), []).append((h, (av - bv) ** 2))
+    assert {c: x["pairs"] for c, x in got.items()} == {c: len(v) for c, v in want.items()}
+    for c, v in want.items():
+        assert got[c]["distance"] == pytest.approx(sum(h for h, _ in v) / len(v)) and got[c]["gamma"] == pytest.approx(sum(d for _, d in v) / len(v) / 2)
+    assert met[0].rdd.getNumPartitions() > 4
