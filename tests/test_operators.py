@@ -350,3 +350,19 @@ def test_variogram_of_full_cells_against_all_pairs(spark, monkeypatch):
     for c, v in want.items():
         assert got[c]["distance"] == pytest.approx(sum(h for h, _ in v) / len(v)) and got[c]["gamma"] == pytest.approx(sum(d for _, d in v) / len(v) / 2)
     assert met[0].rdd.getNumPartitions() > 4
+
+
+def test_nearest_of_dense_points_meets_few(spark, monkeypatch):
+    import random
+
+    r = random.Random(9)
+    rows = [(i, r.choice([0.0, 0.5, r.uniform(0, 1)]), r.choice([0.0, r.uniform(0, 1)])) for i in range(600)] + [(700, 400.0, -3.0)]
+    df = spark.createDataFrame([*rows, (800, None, 0.0), (801, float("nan"), 0.0)], "id long, x double, y double")
+    seen, within = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a: seen.append(out := within(*a)) or out)
+    got = {}
+    for p in spatial.nearest(df.where("id % 5 = 0"), df, "id", ["x", "y"], 3, 200.0).orderBy("rank").collect():
+        got.setdefault(p["a"], []).append(p["b"])
+    far = lambda p, q: ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5
+    assert got == {p[0]: [q[0] for q in sorted(rows, key=lambda q: (far(p, q), q[0]))[:3]] for p in rows if p[0] % 5 == 0}
+    assert seen[0].count() < 120 * 60
