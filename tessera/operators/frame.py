@@ -156,10 +156,15 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count mean std min 25% 50% 75% max by column, in one pass."""
+    """count mean std min 25% 50% 75% max by column, in one pass but for the quantiles, whose values are counted and summed in ranges."""
+    from .learning import quantiles
+
     columns = list(columns or numeric_columns(df))
-    one = df.agg(*[F.struct(F.count(c).cast("double").alias("count"), F.avg(c).alias("mean"), sample_std(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("max")).alias(c) for c in columns])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns])).alias("e")).select("e.column", "e.s.*").select("column", "count", "mean", "std", "min", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "max")
+    one = df.agg(*[F.struct(F.count(c).cast("double").alias("count"), F.avg(c).alias("mean"), sample_std(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(f"s{i}") for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        one = one.crossJoin(quantiles(df, c, (0.25, 0.5, 0.75), f"q{i}"))
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)])).alias("e")).select("e.column", "e.s.*", "e.q")
+    return rows.select("column", "count", "mean", "std", "min", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "max")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def quantiles(df: DataFrame, column: str, points: Sequence[float], name: str = "
     place = [F.lit(float(p)) * (F.col("all") - 1) for p in points]
     low = [F.min(F.when(F.col("upto") > F.floor(h), F.col("v"))).alias(f"a{i}") for i, h in enumerate(place)]
     high = [F.min(F.when(F.col("upto") > F.ceil(h), F.col("v"))).alias(f"b{i}") for i, h in enumerate(place)]
-    between = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (h - F.floor(h)) for i, h in enumerate(place)]
+    between = [F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}")).otherwise(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (h - F.floor(h))) for i, h in enumerate(place)]
     return at.agg(F.max("all").alias("all"), *low, *high).select(F.array(*between).alias(name))
 
 

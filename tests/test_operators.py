@@ -366,3 +366,13 @@ def test_nearest_of_dense_points_meets_few(spark, monkeypatch):
     far = lambda p, q: ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5
     assert got == {p[0]: [q[0] for q in sorted(rows, key=lambda q: (far(p, q), q[0]))[:3]] for p in rows if p[0] % 5 == 0}
     assert seen[0].count() < 120 * 60
+
+
+def test_describe_holds_no_column_in_one_task(spark):
+    from tessera.operators import frame
+
+    rows = [(float(v), v) for v in range(1, 8)] + [(float("inf"), None)]
+    out = frame.describe(spark.createDataFrame(rows, "x double, n int").withColumn("z", F.lit(None).cast("double")), ["x", "n", "z"])
+    assert "percentile" not in out._jdf.queryExecution().toString().lower()
+    got = {r["column"]: tuple(r)[4:] for r in out.collect()}
+    assert got == {"x": (1.0, 2.75, 4.5, 6.25, float("inf")), "n": (1.0, 2.5, 4.0, 5.5, 7.0), "z": (None,) * 5}
