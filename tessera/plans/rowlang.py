@@ -482,7 +482,7 @@ class Plan:
                 self.df = self.df.crossJoin(F.broadcast(self.df.agg(agg)))  # one row
             else:
                 keys = [F.col(f"`{g}`").alias(f"__k{i}") for i, g in enumerate(groups)]
-                own = self.df.groupBy(*keys).agg(agg)
+                own = keep(self.df.groupBy(*keys).agg(agg))  # its size is known, so a few groups go to the rows rather than the rows to them
                 on = [F.col(f"`{g}`").eqNullSafe(F.col(f"__k{i}")) for i, g in enumerate(groups)]
                 self.df = self.df.join(own, on, "left").drop(*[f"__k{i}" for i in range(len(groups))])
         else:

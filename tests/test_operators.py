@@ -376,3 +376,11 @@ def test_describe_holds_no_column_in_one_task(spark):
     assert "percentile" not in out._jdf.queryExecution().toString().lower()
     got = {r["column"]: tuple(r)[4:] for r in out.collect()}
     assert got == {"x": (1.0, 2.75, 4.5, 6.25, float("inf")), "n": (1.0, 2.5, 4.0, 5.5, 7.0), "z": (None,) * 5}
+
+
+def test_sums_over_few_groups_go_to_the_rows(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 4 > 0, F.concat(F.lit("g"), F.col("id") % 4)).alias("g"))
+    out = rowlang.Transform("m = mean(id) over g\nn = count() over g where id < 10").run(df, order=["id"])
+    assert "hashpartitioning(g" not in out._jdf.queryExecution().toString()
+    got = {r["id"]: (r["m"], r["n"]) for r in out.collect()}
+    assert len(got) == 1000 and all(got[i] == (498.0 + i % 4, 3 if i % 4 < 2 else 2) for i in got)
