@@ -34,18 +34,25 @@ ACCENTED, PLAIN = folding()
 K1, B = 1.5, 0.75
 
 
+#: ASCII that separates words.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "'")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case terms without accents: letters, digits and inner apostrophes, or runs beyond ASCII; two characters at least, no stopwords."""
-    words = F.regexp_extract_all(F.lower(F.translate(F.coalesce(text, F.lit("")), ACCENTED, PLAIN)), F.lit("([a-z0-9']+|[^\\x00-\\x7f]+)"), F.lit(1))
-    bare = F.transform(words, lambda w: F.regexp_replace(w, "^'+|'+$", ""))
+    spaced = F.lower(F.translate(F.coalesce(text, F.lit("")), BETWEEN + ACCENTED, " " * len(BETWEEN) + PLAIN))
+    apart = lambda s: F.regexp_replace(s, "([a-z0-9'](?=[^\\x00-\\x7f])|[^\\x00-\\x7f](?=[a-z0-9']))", "$1 ")
+    # inside a lambda the spaced text is made once
+    words = F.transform(F.array(spaced), lambda s: F.split(F.when(F.octet_length(s) == F.char_length(s), s).otherwise(apart(s)), " "))[0]
+    bare = F.transform(words, lambda w: F.btrim(w, F.lit("'")))
     return F.filter(bare, lambda w: (F.char_length(w) >= 2) & ~w.isin(*STOPWORDS))
 
 
 class Index:
-    """Postings ``(term, doc, field, tf, first)``, lengths ``(doc, field, n)``, and boosts by field."""
+    """Postings ``(term, doc, field, tf, first)``, lengths ``(doc, field, n)``, and boosts by field; an index just built has the documents' ``terms (doc, t)`` too."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, boosts: dict[str, float]):
-        self.postings, self.lengths, self.boosts = postings, lengths, boosts
+    def __init__(self, postings: DataFrame, lengths: DataFrame, boosts: dict[str, float], terms: DataFrame | None = None):
+        self.postings, self.lengths, self.boosts, self.terms = postings, lengths, boosts, terms
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, fields: dict[str, float]) -> Index:
@@ -54,7 +61,7 @@ class Index:
         lengths = long.select("doc", "field", F.size("t").alias("n"))
         terms = long.select("doc", "field", F.posexplode("t").alias("at", "term"))
         postings = terms.groupBy("term", "doc", "field").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("first"))
-        return cls(postings, lengths, dict(fields))
+        return cls(postings, lengths, dict(fields), long.select("doc", "t"))
 
     def add(self, docs: DataFrame, key: str) -> Index:
         """A delta; documents that are there already are replaced."""
@@ -69,7 +76,13 @@ class Index:
         return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths), self.boosts)
 
     def vocabulary(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count_distinct("doc").alias("df"))
+        if self.terms is None:
+            return self.postings.groupBy("term").agg(F.count_distinct("doc").alias("df"))
+        own = self.terms
+        rows, docs = own.agg(F.count("doc"), F.count_distinct("doc")).first()
+        if rows > docs:  # several fields, or a document twice
+            own = own.groupBy("doc").agg(F.flatten(F.collect_list("t")).alias("t"))
+        return own.select("doc", F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("doc").alias("df"))
 
     def expand(self, asked: DataFrame, prefix: bool = True, fuzzy: int = 0, synonyms: dict[str, Sequence[str]] | None = None) -> DataFrame:
         """``asked(q, term)`` with a weight, and what its terms stand for: synonyms (1) and, for terms that the index has not, terms that begin with

@@ -384,3 +384,13 @@ def test_sums_over_few_groups_go_to_the_rows(spark):
     assert "hashpartitioning(g" not in out._jdf.queryExecution().toString()
     got = {r["id"]: (r["m"], r["n"]) for r in out.collect()}
     assert len(got) == 1000 and all(got[i] == (498.0 + i % 4, 3 if i % 4 < 2 else 2) for i in got)
+
+
+def test_vocabulary_counts_documents_where_they_are(spark):
+    from tessera.operators import search
+
+    docs = spark.createDataFrame([(1, "ab cd ab", "cd"), (1, "ef", None), (2, "cd x", "gh"), (None, "only nulls", "cd")], "id int, t string, u string")
+    for fields, want in (({"t": 1.0}, {"ab": 1, "cd": 2, "ef": 1, "only": 0, "nulls": 0}), ({"t": 1.0, "u": 2.0}, {"ab": 1, "cd": 2, "ef": 1, "gh": 1, "only": 0, "nulls": 0})):
+        out = search.Index.build(docs, "id", fields).vocabulary()
+        assert {r["term"]: r["df"] for r in out.collect()} == want
+        assert "posexplode" not in out._jdf.queryExecution().toString()
