@@ -87,7 +87,7 @@ class Index:
     def expand(self, asked: DataFrame, prefix: bool = True, fuzzy: int = 0, synonyms: dict[str, Sequence[str]] | None = None) -> DataFrame:
         """``asked(q, term)`` with a weight, and what its terms stand for: synonyms (1) and, for terms that the index has not, terms that begin with
         them (0.8, from three letters on) and terms within ``fuzzy`` edits (0.5 at one, 0.2 at two; from five letters on one, from eight on two)."""
-        known = self.vocabulary().select(F.col("term").alias("t"))
+        known = keep(self.vocabulary().select(F.col("term").alias("t")))
         out = asked.withColumn("weight", F.lit(1.0))
         if synonyms:
             pairs = asked.sparkSession.createDataFrame([(a, b) for a, bs in synonyms.items() for b in bs], "term string, t string")
