@@ -115,7 +115,7 @@ class Index:
         n_docs = self.lengths.agg(F.count_distinct("doc").alias("docs"))
         boost = F.create_map(*[F.lit(x) for f, b in self.boosts.items() for x in (f, float(b))])
         wanted = asked.select("term").distinct()
-        hits = self.postings.join(wanted, "term", "left_semi")
+        hits = keep(self.postings.join(wanted, "term", "left_semi"))
         df = hits.groupBy("term").agg(F.count_distinct("doc").alias("df"))
         sized = hits.join(self.lengths, ["doc", "field"]).join(F.broadcast(stats), "field")
         part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg_n")))

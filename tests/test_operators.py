@@ -394,3 +394,14 @@ def test_vocabulary_counts_documents_where_they_are(spark):
         out = search.Index.build(docs, "id", fields).vocabulary()
         assert {r["term"]: r["df"] for r in out.collect()} == want
         assert "posexplode" not in out._jdf.queryExecution().toString()
+
+
+def test_search_makes_vocabulary_and_hits_once(spark, monkeypatch):
+    from tessera.operators import search
+
+    index = search.Index.build(spark.createDataFrame([(1, "encryption keys"), (2, "drilling 'x'y東京")], "id int, body string"), "id", {"body": 1.0})
+    kept, keep = [], search.keep
+    monkeypatch.setattr(search, "keep", lambda df: kept.append(out := keep(df)) or out)
+    found = index.search(spark.createDataFrame([(0, "encryp 東京")], "q0 int, text string"), "q0", "text", prefix=True)
+    assert sorted(r["doc"] for r in found.collect()) == [1, 2]
+    assert [k.columns for k in kept] == [["t"], ["term", "doc", "field", "tf", "first"]]
